@@ -5,18 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, quality, warc
+from . import mixing, packing, quality, rans, tokens, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def token_digests(stored: DataFrame) -> DataFrame:
+    return stored.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(rans.stored_tokens(spark, table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"), 2))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judged(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(spark, table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(spark, table(spark, sf_dir, "pages"))
 
@@ -25,6 +38,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_quality_rules, op8_warc, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_ids, op4_quality_rules, op7_packing, op8_warc, op10_mixing)}
 
 SQL: dict[str, str] = {}
