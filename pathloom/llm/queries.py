@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, rans, tokens, warc
+from . import mixing, packing, quality, rans, simhash, tokens, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,14 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(rans.stored_tokens(spark, table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"), 2))
 
 
+def simhash_digests(grouped: DataFrame) -> DataFrame:
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_digests(simhash.grouped_documents(spark, table(spark, sf_dir, "documents")))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judged(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -38,6 +46,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_ids, op4_quality_rules, op7_packing, op8_warc, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_ids, op3_simhash, op4_quality_rules, op7_packing, op8_warc, op10_mixing)}
 
 SQL: dict[str, str] = {}
