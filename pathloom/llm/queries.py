@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, rans, simhash, tokens, warc
+from . import chat, mixing, packing, quality, rans, simhash, tokens, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,10 +42,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(spark, table(spark, sf_dir, "pages"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.parsed_conversations(spark, table(spark, sf_dir, "conversations"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_ids, op3_simhash, op4_quality_rules, op7_packing, op8_warc, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_ids, op3_simhash, op4_quality_rules, op7_packing, op8_warc, op9_chat_format, op10_mixing)}
 
 SQL: dict[str, str] = {}
