@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, rans, simhash, tokens, topk, warc
+from . import chat, katz, mixing, packing, quality, rans, simhash, tokens, topk, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scored(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark, table(spark, sf_dir, "embeddings"))
 
@@ -54,7 +58,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_ids, op3_simhash, op4_quality_rules, op6_top_k, op7_packing, op8_warc, op9_chat_format, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_ids, op3_simhash, op4_quality_rules, op5_lm_score, op6_top_k, op7_packing, op8_warc, op9_chat_format, op10_mixing)}
 
 SQL: dict[str, str] = {
     "op6_top_k": """
