@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, katz, mixing, packing, quality, rans, simhash, tokens, topk, warc
+from . import chat, katz, mixing, packing, quality, rans, simhash, suffixes, tokens, topk, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,14 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(rans.stored_tokens(spark, table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"), 2))
 
 
+def passage_digests(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_digests(suffixes.deduplicated(spark, table(spark, sf_dir, "documents")))
+
+
 def simhash_digests(grouped: DataFrame) -> DataFrame:
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -58,7 +66,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_ids, op3_simhash, op4_quality_rules, op5_lm_score, op6_top_k, op7_packing, op8_warc, op9_chat_format, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_ids, op2_suffix_dedup, op3_simhash, op4_quality_rules, op5_lm_score, op6_top_k, op7_packing, op8_warc, op9_chat_format, op10_mixing)}
 
 SQL: dict[str, str] = {
     "op6_top_k": """
