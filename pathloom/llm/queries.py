@@ -66,7 +66,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_ids, op2_suffix_dedup, op3_simhash, op4_quality_rules, op5_lm_score, op6_top_k, op7_packing, op8_warc, op9_chat_format, op10_mixing)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_ids, op2_suffix_dedup, op3_simhash, op4_quality_rules, op5_lm_score, op6_top_k, op7_packing, op8_warc, op9_chat_format, op10_mixing, pipeline)}
 
 SQL: dict[str, str] = {
     "op6_top_k": """
