@@ -1,8 +1,10 @@
-"""Token ids of whole texts by the tokenizers library, each distinct white-space chunk encoded once in a worker.
+"""Token ids of whole texts by the tokenizers library, each distinct piece of text encoded once in a worker.
 
-Both public byte-pair vocabularies cut a text before runs of plain white space, so the ids of a text are those of its
-chunks (white space in front included) one after another. Texts that hold any other white space go to the library
-as a whole, which keeps the result exact.
+Both public byte-pair vocabularies cut a text into pieces (a word with the space before it, a number, a run of signs,
+white space) and encode each piece by itself. Texts of Latin letters, whose classes no library disputes, are cut here
+by the vocabulary's own pattern and new pieces go to the library's model. Other texts are cut before runs of plain
+white space, which is always a piece's border, and the chunks go through the library's whole pipeline; texts with any
+other white space go through it in one. All three ways give the ids of the whole text.
 """
 
 from __future__ import annotations
@@ -12,12 +14,21 @@ import re
 
 import numpy as np
 
-PLAIN = " \n\t\r"
 CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space by any library's rules, other than the four plain ones.
 ODD = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200d\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
-MAX_CHUNKS, MAX_CHUNK_CHARS = 400_000, 64
-_encoders: dict[str, ChunkEncoder] = {}
+#: Letters and numbers among the code points up to U+024F; these and some signs make a Latin text.
+LETTERS, NUMBERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+NOT_LATIN = re.compile(r"[^\x00-ɏ–—‘-„…]|<\|")
+SPACE = r" \n\t\r"
+SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+#: The pieces of the two kinds of vocabulary, as their files define them.
+PIECES = {
+    "bytes": re.compile(rf"{SHORT}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"),
+    "words": re.compile(rf"{SHORT}|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+"),
+}
+MAX_KNOWN, MAX_PIECE = 1_000_000, 64
+_encoders: dict[str, PieceEncoder] = {}
 
 
 def vocabulary(name: str) -> str:
@@ -27,8 +38,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class ChunkEncoder:
-    """encode(text) gives the ids; chunks that were seen are kept up to a fixed number, which bounds memory."""
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones as they are, others from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class PieceEncoder:
+    """encode(text) gives the ids; pieces that were seen are kept up to a fixed number, which bounds memory."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,7 +54,11 @@ class ChunkEncoder:
 
         with open(path, encoding="utf-8") as f:
             self.library = Tokenizer.from_str(f.read())
-        self.known: dict[str, list[int]] = {}
+        self.kind = "words" if self.library.model.end_of_word_suffix else "bytes"
+        self.letters = byte_letters()
+        self.model = self.library.model
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.chunks: dict[str, tuple[int, ...]] = {}
 
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -44,25 +66,41 @@ class ChunkEncoder:
     def encode(self, text: str) -> np.ndarray:
         if ODD.search(text):
             return np.asarray(self.whole(text), np.uint32)
-        chunks, known = CHUNK.findall(text), self.known
-        new = [c for c in {*chunks} if c not in known]
-        if len(known) + len(new) > MAX_CHUNKS:
-            known.clear()
-            new = [*{*chunks}]
+        if NOT_LATIN.search(text):
+            return self.joined(CHUNK.findall(text), self.chunks, self.encode_chunks)
+        if self.kind == "words":
+            text = text.lower()
+            if "̇" in text:  # a dotted capital I gives a mark of its own
+                return self.joined(CHUNK.findall(text), self.chunks, self.encode_chunks)
+        return self.joined(PIECES[self.kind].findall(text), self.pieces, self.encode_pieces)
+
+    def encode_pieces(self, new: list[str]):
+        letters, tokenize = self.letters, self.model.tokenize
+        for piece in new:
+            yield tuple(t.id for t in tokenize("".join([letters[b] for b in piece.encode()])))
+
+    def encode_chunks(self, new: list[str]):
         for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[c] = e.ids
+            for e in self.library.encode_batch_fast(new[at : at + 4096], add_special_tokens=False):
+                yield tuple(e.ids)
+
+    @staticmethod
+    def joined(parts: list[str], known: dict[str, tuple[int, ...]], encode) -> np.ndarray:
+        new = [p for p in {*parts} if p not in known]
+        if len(known) + len(new) > MAX_KNOWN:
+            known.clear()
+            new = [*{*parts}]
+        known.update(zip(new, encode(new), strict=True))
         ids: list[int] = []
-        for c in chunks:
-            ids += known[c]
-        for c in new:
-            if len(c) > MAX_CHUNK_CHARS:
-                del known[c]
+        for p in parts:
+            ids += known[p]
+        for p in new:
+            if len(p) > MAX_PIECE:
+                del known[p]
         return np.asarray(ids, np.uint32)
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> PieceEncoder:
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = PieceEncoder(path)
     return _encoders[path]

@@ -51,7 +51,7 @@ def test_groups_have_equal_cardinality():
 
 
 def brute(rows):
-    library, out = tokens.ChunkEncoder(tokens.vocabulary("word_bpe_49k.json")), []
+    library, out = tokens.PieceEncoder(tokens.vocabulary("word_bpe_49k.json")), []
     for i, t in rows:
         ids = np.asarray([*library.whole(t or ""), 0], "<u4")
         out += [(i, k, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for k, a in enumerate(range(0, len(ids), 2048))]

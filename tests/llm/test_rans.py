@@ -11,7 +11,7 @@ ODD_TEXTS = ["a  b", "a  <|endoftext|>  b\n\n c", "\t\tx\r\n y  ", "é É İ ǅ"
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_chunks_give_the_ids_of_whole_texts(spark, sf_dir, name):
-    encode = tokens.ChunkEncoder(tokens.vocabulary(name))
+    encode = tokens.PieceEncoder(tokens.vocabulary(name))
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
     for t in texts + ODD_TEXTS:
         assert list(encode.encode(t)) == encode.whole(t), t[:60]
@@ -50,7 +50,7 @@ def test_damage_is_found():
 
 
 def brute(rows):
-    library, at, out = tokens.ChunkEncoder(tokens.vocabulary("byte_bpe_50k.json")), 0, []
+    library, at, out = tokens.PieceEncoder(tokens.vocabulary("byte_bpe_50k.json")), 0, []
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = np.asarray([*library.whole(t or ""), 2], "<u4")
         out.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
