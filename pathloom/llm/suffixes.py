@@ -25,7 +25,6 @@ ignored. Whole texts are read, as UTF-8 bytes; strings never cross documents and
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Callable
 
@@ -260,12 +259,16 @@ class Exchange:
         self.spark, self.scratch, self.rounds = spark, scratch, 0
         self.state, self.replies = state, spark.createDataFrame([], ROWS)
 
-    def round(self, ask: Callable, answer: Callable, extra: DataFrame | None = None) -> None:
+    def round(self, ask: Callable, answer: Callable, text: DataFrame | None = None) -> None:
+        """text: rows like the state's with the chunks' bytes, which the round's states hold as "text"."""
+        plain = text is None
+
         def ask_all(left: pa.Table, right: pa.Table) -> pa.Table:
             out = []
             replies = {r["bucket"]: thaw(r["data"]) for r in right.sort_by("bucket").to_pylist()}
             for r in left.to_pylist():
-                state, requests = ask(thaw(r["data"]), replies)
+                state = thaw(r["data"]) if plain else replies.pop(-2) | {"text": thaw(r["data"])}
+                state, requests = ask(state, replies)
                 out.append((-1, r["chunk"], freeze(state)))
                 out += [(b, r["chunk"], freeze(q)) for b, q in requests.items()]
             return rows_table(out)
@@ -276,7 +279,10 @@ class Exchange:
             return rows_table([(r["bucket"], r["chunk"], freeze(a)) for r, a in zip(rows, answers, strict=True)])
 
         k = self.rounds = self.rounds + 1
-        sent = self.scratch.write(self.state.groupBy("chunk").cogroup(self.replies.groupBy("chunk")).applyInArrow(ask_all, ROWS), f"sent{k}")
+        left, right = self.state, self.replies
+        if not plain:  # bytes move once: the small state goes with the replies
+            left, right = text, right.unionByName(left.withColumn("bucket", F.lit(-2).cast("long")))
+        sent = self.scratch.write(left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(ask_all, ROWS), f"sent{k}")
         self.state = sent.filter("bucket < 0")
         self.replies = self.scratch.write(sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(answer_all, ROWS), f"replies{k}")
         self.scratch.drop(f"sent{k - 1}")
@@ -433,15 +439,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = LENGTH
         counts = np.minimum(np.bincount(of, known, len(value)), 2).astype(np.uint8)
         return {"from": x["from"], "to": x["to"], "starts": starts.astype(np.int64), "of": of}, by_bucket(bucket_of(value, 0, buckets), [value, counts])
 
-    with_text = exchange.state.drop("bucket").join(chunks.select("chunk", "text"), "chunk")
-
-    def add_text(batches):
-        for batch in batches:
-            for chunk, data, text in zip(*(batch[c].to_pylist() for c in ("chunk", "data", "text")), strict=True):
-                yield rows_table([(-1, chunk, freeze(thaw(data) | {"text": thaw(text)}))]).to_batches()[0]
-
-    exchange.state = with_text.mapInArrow(add_text, ROWS)
-    exchange.round(ask_strings, repeated)
+    exchange.round(ask_strings, repeated, chunks.select(F.lit(-1).cast("long").alias("bucket"), "chunk", F.col("text").alias("data")))
 
     def spans(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
