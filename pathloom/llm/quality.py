@@ -13,6 +13,7 @@ only, the list is empty and the base rules alone decide; repeated rows are judge
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from math import log2
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,11 +108,12 @@ class Bits:
 
 
 def literals(rows: list[dict[str, float]], names: list[str], cuts: int) -> list[tuple[tuple[str, str, float], int]]:
-    """Conditions feature <= cut and feature > cut at quantiles, each with the set of rows it holds for."""
+    """Conditions feature <= cut and feature > cut, each with the set of rows it holds for; cuts lie half way between a quantile and the next larger value."""
     out = []
     for name in names:
         values = sorted(r[name] for r in rows)
-        for cut in sorted({values[(len(values) - 1) * k // cuts] for k in range(cuts + 1)}):
+        below = sorted({values[(len(values) - 1) * k // cuts] for k in range(cuts + 1)})
+        for cut in [(v + values[at]) / 2 for v in below if (at := bisect_right(values, v)) < len(values)]:
             below = Bits.of(r[name] <= cut for r in rows)
             out += [((name, "<=", cut), below), ((name, ">", cut), ~below & ((1 << len(rows)) - 1))]
     return out
