@@ -442,6 +442,7 @@ def on_call(e: N, env: Env) -> Typed:
 
 
 TEMPORAL_NAMES = {"date": ty.DATE, "localtime": ty.LOCALTIME, "time": ty.TIME, "localdatetime": ty.LOCALDATETIME, "datetime": ty.DATETIME}
+BETWEEN = {"between": "between", "inmonths": "inMonths", "indays": "inDays", "inseconds": "inSeconds"}
 CLOCKS = ("transaction", "statement", "realtime")
 
 
@@ -472,6 +473,12 @@ def temporal_constant(e: N, env: Env):
             return TEMPORAL_NAMES[base], tm.built(base, {"date": arg})
         if isinstance(arg, tuple) and len(arg) == 4:
             return TEMPORAL_NAMES[base], arg if base == "datetime" else tm.built(base, {"datetime": arg})
+    if base in TEMPORAL_NAMES and rest == "truncate":
+        unit, value, *more = (constant(a, env) for a in e.args)
+        return TEMPORAL_NAMES[base], None if value is None else tm.truncated_constant(base, unit, value, more[0] if more else {})
+    if base == "duration" and rest in BETWEEN:
+        a, b = (constant(x, env) for x in e.args)
+        return ty.DURATION, None if a is None or b is None else tm.between_constants(BETWEEN[rest], a, b)
     if name == "datetime.fromepoch":
         s, n = (constant(a, env) for a in e.args)
         return ty.DATETIME, (dt.datetime(1970, 1, 1) + dt.timedelta(seconds=s, microseconds=n // 1000), 0, None, n % tm.NANOS)

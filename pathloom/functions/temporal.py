@@ -229,6 +229,110 @@ def literal(t: ty.T, value) -> Column:
     return F.struct(*[lit(v).alias(n) for v, n in zip(value, ("months", "days", "seconds", "nanos"), strict=True)])
 
 
+# arithmetic on constants
+
+YEARS = {"decade": 10, "century": 100, "millennium": 1000}
+CLOCK_UNITS = {"day": DAY * NANOS, "hour": 3600 * NANOS, "minute": 60 * NANOS, "second": NANOS, "millisecond": 1_000_000, "microsecond": 1000}
+
+
+def parts_of(v) -> tuple[dt.date | None, int, int | None, str | None]:
+    """Date, nanoseconds of the day, offset and zone of a value, as far as it has them."""
+    if isinstance(v, dt.datetime):
+        return v.date(), (v - dt.datetime.combine(v.date(), dt.time())) // dt.timedelta(microseconds=1) * 1000, None, None
+    if isinstance(v, dt.date):
+        return v, 0, None, None
+    if isinstance(v, int):
+        return None, v, None, None
+    if len(v) == 2:
+        return None, v[0], v[1], None
+    day, nanos, _, _ = parts_of(v[0])
+    return day, nanos - nanos % NANOS + v[3], v[1], v[2]
+
+
+def truncated_constant(kind: str, unit: str, v, fields: dict):
+    """The start of the unit that a value lies in, as a value of the kind, with fields set over it."""
+    day, nanos, offset, zone = parts_of(v)
+    unit = unit.lower()
+    if unit in CLOCK_UNITS:
+        nanos -= nanos % CLOCK_UNITS[unit]
+    elif day is None:
+        raise failed(f"a time has no {unit}")
+    else:
+        nanos = 0
+        if unit in YEARS:
+            day = dt.date(max(1, day.year - day.year % YEARS[unit]), 1, 1)
+        elif unit == "weekyear":
+            day = dt.date.fromisocalendar(day.isocalendar()[0], 1, 1)
+        elif unit == "year":
+            day = day.replace(month=1, day=1)
+        elif unit == "quarter":
+            day = day.replace(month=3 * ((day.month - 1) // 3) + 1, day=1)
+        elif unit == "month":
+            day = day.replace(day=1)
+        elif unit == "week":
+            day -= dt.timedelta(days=day.weekday())
+        else:
+            raise failed(f"unknown unit {unit!r}")
+    own: dict = {"time": nanos} if kind != "date" else {}
+    if day is not None and kind not in ("localtime", "time"):
+        own["date"] = day
+        if "dayOfWeek" in fields and unit == "week":
+            own["date"] = day
+    elif day is None and kind not in ("localtime", "time"):
+        raise failed(f"a {kind} needs a date")
+    if kind in ("time", "datetime") and "timezone" not in fields and (zone or offset):
+        own["timezone"] = zone or ("-" if offset < 0 else "+") + f"{abs(offset) // 3600:02d}:{abs(offset) // 60 % 60:02d}"
+    sub = {k: fields[k] for k in ("millisecond", "microsecond", "nanosecond") if k in fields}
+    fields = {k: x for k, x in fields.items() if k not in sub}
+    out = built(kind, own | fields)
+    if not sub:
+        return out
+    # smaller parts are added to what the truncation has left of larger ones
+    extra = sub.get("millisecond", 0) * 1_000_000 + sub.get("microsecond", 0) * 1000 + sub.get("nanosecond", 0)
+    if isinstance(out, int):
+        return out + extra
+    if isinstance(out, tuple):
+        return (out[0] + extra, out[1]) if len(out) == 2 else (out[0] + dt.timedelta(microseconds=extra // 1000), *out[1:3], out[3] + extra)
+    return out + dt.timedelta(microseconds=extra // 1000)
+
+
+def months_after(day: dt.date, months: int) -> dt.date:
+    """The same day so many months on, or the last of a shorter month."""
+    at = day.year * 12 + day.month - 1 + months
+    last = (dt.date(at // 12 + at % 12 // 11, (at + 1) % 12 + 1, 1) - dt.timedelta(days=1)).day
+    return dt.date(at // 12, at % 12 + 1, min(day.day, last))
+
+
+def between_constants(kind: str, a, b) -> tuple[int, int, int, int]:
+    """Duration from a to b as (months, days, seconds, nanos); of values without a date their times alone count."""
+    (da, na, oa, _), (db, nb, ob, _) = parts_of(a), parts_of(b)
+    if oa is not None and ob is not None:
+        na, nb = na - oa * NANOS, nb - ob * NANOS
+    dated = da is not None and db is not None
+    if not dated:
+        da = db = dt.date(1970, 1, 1)
+    total = (db - da).days * DAY * NANOS + nb - na
+
+    def split(nanos: int) -> tuple[int, int]:
+        return nanos // NANOS, nanos % NANOS
+
+    if kind == "inSeconds" or not dated:
+        return (0, 0, *split(total)) if kind in ("inSeconds", "between") else (0, 0, 0, 0)
+    whole_days = abs(total) // (DAY * NANOS) * (1 if total >= 0 else -1)
+    if kind == "inDays":
+        return 0, whole_days, 0, 0
+    months = (db.year - da.year) * 12 + db.month - da.month
+    sign = 1 if total >= 0 else -1
+    rest = lambda m: (db - months_after(da, m)).days * DAY * NANOS + nb - na
+    while months * sign > 0 and rest(months) * sign < 0:
+        months -= sign
+    if kind == "inMonths":
+        return months, 0, 0, 0
+    left = rest(months)
+    days = abs(left) // (DAY * NANOS) * (1 if left >= 0 else -1)
+    return (months, days, *split(left - days * DAY * NANOS))
+
+
 # columns
 
 SECOND_PARTS = {"hour": (3600 * NANOS, 24), "minute": (60 * NANOS, 60), "second": (NANOS, 60), "millisecond": (1_000_000, 1000), "microsecond": (1000, 1_000_000), "nanosecond": (1, NANOS)}
@@ -310,14 +414,17 @@ def between(kind: str, a: Column, ta: ty.T, b: Column, tb: ty.T) -> Column:
         raise semantic(f"no duration between {ta} and {tb} columns")
     x, y = a.cast("timestamp_ntz"), b.cast("timestamp_ntz")
     zero = F.lit(0).cast("long")
-    micros = F.timestamp_diff("MICROSECOND", x, y) if hasattr(F, "timestamp_diff") else F.expr("0")
+    micros = F.timestamp_diff("MICROSECOND", x, y)
     seconds, nanos = F.floor(micros / 1_000_000).cast("long"), F.pmod(micros, F.lit(1_000_000)) * 1000
     if kind == "inSeconds":
         parts = (zero, zero, seconds, nanos)
     elif kind == "inDays":
         parts = (zero, F.timestamp_diff("DAY", x, y), zero, zero)
     else:
-        months = F.timestamp_diff("MONTH", x, y)
+        # calendar months, the day held to a shorter month's last, less one where that goes beyond the end
+        apart = ((F.year(y) - F.year(x)) * 12 + F.month(y) - F.month(x)).cast("int")
+        there = F.timestamp_add("MONTH", apart, x)
+        months = F.when((y >= x) & (there > y), apart - 1).when((y < x) & (there < y), apart + 1).otherwise(apart)
         if kind == "inMonths":
             parts = (months, zero, zero, zero)
         else:

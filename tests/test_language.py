@@ -64,6 +64,8 @@ VALUES = [
     ("duration('P1Y2M10DT2H30M').months, duration({days: 1, hours: 25}).hours, duration('PT1.5S').nanosecondsOfSecond, duration('P0.5M').days", (14, 25, 500000000, 15)),
     ("date.truncate('century', date('1984-10-11')), date.truncate('week', date('1984-10-11')), date.truncate('weekYear', date('1984-10-11')), localdatetime.truncate('hour', localdatetime('2017-10-11T12:31:14'))", (dt.date(1900, 1, 1), dt.date(1984, 10, 8), dt.date(1984, 1, 2), dt.datetime(2017, 10, 11, 12))),
     ("duration.between(date('1984-10-11'), date('2015-06-24')).months, duration.inDays(date('2020-01-01'), date('2020-03-01')).days, date('2020-01-01') < date('2020-01-02'), date('2020-01-01') = date({year: 2020})", (368, 60, True, True)),
+    ("date.truncate('month', date('1984-10-11'), {day: 5}), localtime.truncate('hour', localtime('12:31:14')).minute, time.truncate('minute', time('12:31:14.645+01:00')).offset, datetime.truncate('day', datetime('2017-10-11T12:31:14+02:00')).epochSeconds, localtime.truncate('second', localtime('12:31:14.645876123'), {nanosecond: 2}).nanosecond, date.truncate('millennium', date('2017-10-11'))", (dt.date(1984, 10, 5), 0, "+01:00", 1507672800, 2, dt.date(2000, 1, 1))),
+    ("duration.inSeconds(localtime('12:00'), localtime('13:00:01')).seconds, duration.between(localdatetime('2018-01-01T12:00'), localdatetime('2018-01-02T10:00')).hours, duration.inMonths(date('2018-01-31'), date('2018-02-28')).months, duration.between(date('2018-03-11'), date('2016-06-24')).months, duration.between(date('2018-03-11'), date('2016-06-24')).days, duration.inSeconds(time('14:30+01:00'), time('14:30Z')).hours", (3601, 22, 1, -20, -17, 1)),
     ("datetime.fromepochmillis(1500).epochMillis, datetime.fromepoch(3, 7).nanosecond, date(localdatetime('2020-01-02T03:04:05'))", (1500, 7, dt.date(2020, 1, 2))),
 ]
 
@@ -104,6 +106,11 @@ def test_failures_at_run_time(graph, items):
         graph.cypher(f"RETURN {items}").collect()
 
 
+def test_durations_of_columns(graph):
+    got = graph.cypher("UNWIND [localdatetime('2018-01-31'), localdatetime('2020-02-29T12:00')] AS a UNWIND [localdatetime('2018-02-28'), localdatetime('2016-06-24')] AS b RETURN duration.inMonths(a, b).months, duration.between(a, b).months, duration.between(a, b).days, duration.between(a, b).seconds, duration.inDays(a, b).days")
+    assert [tuple(r) for r in got.collect()] == [(1, 1, 0, 0, 28), (-19, -19, -6, 0, -586), (-24, -24, 0, -43200, -731), (-44, -44, -5, -43200, -1345)]
+
+
 def test_implicit_names_and_entities(graph):
     df = graph.cypher("MATCH (n:Person)-[r]->(m) RETURN n, r, n.name, n.age + 1 LIMIT 1")
     assert df.columns == ["n", "r", "n.name", "n.age + 1"]
