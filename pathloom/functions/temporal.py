@@ -83,7 +83,7 @@ def parsed_nanos(text: str) -> int:
 
 def nanos_of(fields: dict) -> int:
     base = fields.get("time")
-    parts = {"hour": (base // NANOS // 3600, base // NANOS // 60 % 60, base // NANOS % 60) if isinstance(base, int) else (0, 0, 0)}["hour"]
+    parts = (base // NANOS // 3600, base // NANOS // 60 % 60, base // NANOS % 60) if isinstance(base, int) else (0, 0, 0)
     h, m, s = (fields.get(k, parts[i]) for i, k in enumerate(("hour", "minute", "second")))
     if not (0 <= h < 24 and 0 <= m < 60 and 0 <= s < 60):
         raise failed("not a time")
@@ -276,8 +276,6 @@ def truncated_constant(kind: str, unit: str, v, fields: dict):
     own: dict = {"time": nanos} if kind != "date" else {}
     if day is not None and kind not in ("localtime", "time"):
         own["date"] = day
-        if "dayOfWeek" in fields and unit == "week":
-            own["date"] = day
     elif day is None and kind not in ("localtime", "time"):
         raise failed(f"a {kind} needs a date")
     if kind in ("time", "datetime") and "timezone" not in fields and (zone or offset):
@@ -379,8 +377,7 @@ def component(c: Column, t: ty.T, key: str) -> Column | None:
 
 def duration_component(c: Column, key: str) -> Column | None:
     m, d, s, n = (c[k] for k in ("months", "days", "seconds", "nanos"))
-    part = lambda x, y: F.expr("0") + (x - x % y) / y
-    whole = lambda x, y: part(x, y).cast("long")
+    whole = lambda x, y: F.call_function("div", x, F.lit(y).cast("long"))
     return {
         "years": whole(m, 12), "quarters": whole(m, 3), "months": m, "weeks": whole(d, 7), "days": d, "hours": whole(s, 3600), "minutes": whole(s, 60), "seconds": s,
         "milliseconds": s * 1000 + whole(n, 1_000_000), "microseconds": s * 1_000_000 + whole(n, 1000), "nanoseconds": s * NANOS + n,

@@ -70,7 +70,6 @@ class PropertyGraph:
         """Adds a relationship table; source and target are (label, key column), key is the row's own number, props names columns."""
         number = len(self.rels)
         base = {t.labels[0]: i for i, t in reversed([*enumerate(self.nodes)]) if t.labels}
-        ends = [(F.lit(base[label] * SPAN) + F.col(column).cast("long")).alias(name) for (label, column), name in ((source, "src"), (target, "dst"))]
         kept = _widened(df.select(*[F.col(c).alias(n) for n, c in (props or {}).items()], F.col(key).alias("_key"), *[F.col(c).alias(f"_{n}") for (_, c), n in ((source, "src"), (target, "dst"))]))
         ends = [(F.lit(base[label] * SPAN) + F.col(f"_{name}").cast("long")).alias(name) for (label, _), name in ((source, "src"), (target, "dst"))]
         out = kept.select((F.lit(number * SPAN) + F.col("_key").cast("long")).alias("id"), *ends, *(props or {}))
