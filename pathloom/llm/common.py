@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +47,30 @@ class Scratch:
 def tidy(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove shuffle files of finished steps, which else stay until the driver collects its garbage."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees may hold the rest
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """An array of whole numbers as bytes: its bytes by place, all first ones, then all second ones, and so on, compressed."""
+    import zstandard
+
+    values = np.ascontiguousarray(values)
+    planes = values.reshape(-1, 1).view(np.uint8).reshape(values.size, values.itemsize).T if values.size else values
+    return values.dtype.str.encode().ljust(4) + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpack(data) -> np.ndarray:
+    import zstandard
+
+    view = memoryview(data)
+    kind = np.dtype(bytes(view[:4]).decode().strip())
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(view[4:]), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, tidy
+from .common import Scratch, pack, tidy, unpack
 
 CHUNK = 2_000_000
 #: Buckets hold about so many tokens' words or pairs; at least LEAST buckets.
@@ -47,22 +47,9 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
 
-def pack(values: np.ndarray) -> bytes:
-    import zstandard
-
-    return values.dtype.str.encode().ljust(4) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
-
-
-def unpack(data) -> np.ndarray:
-    import zstandard
-
-    view = memoryview(data)
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(view[4:]), np.dtype(bytes(view[:4]).decode().strip()))
-
-
 def narrow(values: np.ndarray) -> np.ndarray:
     """The same whole numbers in the smallest type that holds them."""
-    most = int(values.max()) if len(values) else 0
+    most = int(values.max(initial=0))
     return values.astype(next(t for t, bits in (("<u1", 8), ("<u2", 16), ("<u4", 32), ("<u8", 64)) if most < 1 << bits))
 
 
@@ -77,10 +64,13 @@ def batch(names: str, *rows: tuple) -> pa.RecordBatch:
 
 
 class Chunk:
-    """Documents' tokens as places in the chunk's sorted array of word hashes."""
+    """Documents' tokens as places in the chunk's sorted array of word hashes (stored in the order of first use)."""
 
     def __init__(self, ids, lengths, words, tokens):
-        self.ids, self.lengths, self.words, self.tokens = ids, lengths, words, tokens
+        order = np.argsort(words)
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        self.ids, self.lengths, self.words, self.tokens = ids, lengths, words[order], place[tokens]
         self.held = np.array([held_out(i) for i in ids], bool)
         self.train = np.repeat(~self.held, lengths)
 
@@ -107,12 +97,9 @@ def chunked(docs: DataFrame) -> DataFrame:
         def chunk():
             nonlocal number
             words = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
-            order = np.argsort(words)
-            place = np.empty(len(order), np.uint32)
-            place[order] = np.arange(len(order), dtype=np.uint32)
-            tokens = np.concatenate([place[p] for p in places])
+            tokens = np.concatenate(places)
             train = sum(n for i, n in zip(ids, lengths, strict=True) if not held_out(i))
-            out = pa.RecordBatch.from_arrays([pa.array([(part << 32) | number]), pa.array([ids], pa.list_(pa.int64())), pa.array([pack(np.array(lengths, "<u8"))]), pa.array([pack(words[order])]), pa.array([pack(tokens)]), pa.array([len(tokens)]), pa.array([train])], names=["chunk", "docs", "lengths", "words", "tokens", "n", "train"])
+            out = pa.RecordBatch.from_arrays([pa.array([(part << 32) | number]), pa.array([ids], pa.list_(pa.int64())), pa.array([pack(np.array(lengths, "<u8"))]), pa.array([pack(words)]), pa.array([pack(tokens)]), pa.array([len(tokens)]), pa.array([train])], names=["chunk", "docs", "lengths", "words", "tokens", "n", "train"])
             number += 1
             known.clear()
             known[END] = 0
@@ -260,7 +247,7 @@ def pair_replies(requests: DataFrame, share: int) -> DataFrame:
         out, at = [(-1, 3, bucket, b"", pack(np.array([(total == r).sum() for r in range(1, TOP + 2)]))), (-1, 4, bucket, pack(contexts[part]), pack(sums[part]))], 0
         for r, k in zip(rows, keys, strict=True):
             own = np.searchsorted(contexts, np.unique(k >> np.uint64(32)))
-            out.append((r["chunk"], 2, bucket, pack(narrow(total[place[at : at + len(k)]])), pack(sums[own].T.astype("<i8"))))
+            out.append((r["chunk"], 2, bucket, pack(narrow(total[place[at : at + len(k)]])), pack(narrow(sums[own].T))))
             at += len(k)
         return pa.Table.from_batches([batch("chunk kind bucket a b", *out)])
 
@@ -326,9 +313,8 @@ def scored(spark: SparkSession, docs: DataFrame) -> DataFrame:
             for r in of_kind(right, 2):
                 at = order[cuts[r["bucket"]] : cuts[r["bucket"] + 1]]
                 contexts, of = np.unique(keys[at] >> np.uint64(32), return_inverse=True)
-                sums = unpack(r["b"]).reshape(SUMS, -1).T
+                sums = unpack(r["b"]).reshape(SUMS, -1).T.astype(np.int64)
                 if spread[at].any():
-                    sums = sums.copy()
                     for i, c in enumerate(contexts.tolist()):
                         if c in wide:
                             sums[i] = wide[c]

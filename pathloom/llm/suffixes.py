@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, tidy
+from .common import Scratch, pack, tidy, unpack
 
 LENGTH, GRAM, WINDOW = 400, 32, 128
 CHUNK_BYTES, BATCH_BYTES = 8 << 20, 1 << 18
@@ -46,15 +46,41 @@ PLACE_BITS = 40
 
 
 def freeze(value) -> bytes:
+    """A value of plain Python and arrays as bytes; arrays are packed."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(value, protocol=5))
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(packed(value), protocol=5))
 
 
 def thaw(data):
     import zstandard
 
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+    return unpacked(pickle.loads(zstandard.ZstdDecompressor().decompress(data)))
+
+
+class Packed:
+    def __init__(self, values: np.ndarray):
+        self.shape, self.data = values.shape, pack(values)
+
+
+def packed(v):
+    if isinstance(v, np.ndarray):
+        return Packed(v) if v.dtype.kind in "iu" and v.size else v
+    if isinstance(v, dict):
+        return {k: packed(x) for k, x in v.items()}
+    if isinstance(v, (list, tuple)):
+        return type(v)(packed(x) for x in v)
+    return v.mapped(packed) if isinstance(v, Runs) else v
+
+
+def unpacked(v):
+    if isinstance(v, Packed):
+        return unpack(v.data).reshape(v.shape)
+    if isinstance(v, dict):
+        return {k: unpacked(x) for k, x in v.items()}
+    if isinstance(v, (list, tuple)):
+        return type(v)(unpacked(x) for x in v)
+    return v.mapped(unpacked) if isinstance(v, Runs) else v
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -188,6 +214,12 @@ class Runs:
         self.at = np.arange(n) - start[run] if n else np.zeros(0, np.int64)
         self.left = (np.concatenate([start[1:], [n]])[run] - np.arange(n)) if n else np.zeros(0, np.int64)
 
+    def mapped(self, f) -> Runs:
+        """The same runs with f applied to their arrays."""
+        out = Runs.__new__(Runs)
+        out.values, out.at, out.left = f(self.values), f(self.at), f(self.left)
+        return out
+
     def shifted(self, values: np.ndarray, by: int) -> np.ndarray:
         """The value so many places on; 0 beyond the end of a run."""
         out = np.zeros(len(values), np.uint64)
