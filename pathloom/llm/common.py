@@ -29,15 +29,20 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Tables of one run under a folder of its own; drop() removes those that no later step reads."""
 
+    #: All that this process has made, for those who know when a run's tables are no longer read.
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        Scratch.made.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Writes the table once and gives it as a plain scan, which cuts the lineage."""
         df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
-    def drop(self, name: str) -> None:
+    def drop(self, name: str = "") -> None:
+        """Removes one table, or the whole folder."""
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         with contextlib.suppress(Exception):  # a folder that stays only costs disk

@@ -53,7 +53,8 @@ def test_awkward_rows(spark, tmp_path):
     clean = (77, " ".join(f"word{i * i % 1009}" for i in range(300)), None)
     for rows in ([*TEXTS, clean], []):
         docs = documents(spark, rows)
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, str(tmp_path))
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, str(tmp_path)).write.parquet(out := f"{tmp_path}/{len(rows)}-{name}")
+            docs = spark.read.parquet(out)
         assert (docs.count() > 0) == bool(rows)
     assert quality.features()
