@@ -23,11 +23,16 @@ from .common import Scratch
 
 BLOCK = 4096
 GROUP_ROWS, GROUP_QUERIES = 2 * BLOCK, 2048
-DEPTHS = (1 / 16, 1 / 4, 1 / 2, 1.0)
+#: Shares of the lists that are read in turn, and queries that are bounded at once.
+DEPTHS = (1 / 16, 1 / 4, 1.0)
+TOGETHER = 256
 
 
 class Lists:
-    """A block's vectors and their places in the sorted list of each dimension."""
+    """A block's vectors and their places in the sorted list of each dimension.
+
+    A query reads the lists of its positive components from the top and those of its negative ones from the bottom, so
+    what many queries have read to a depth are two fixed sets of entries, and their bounds are matrix products."""
 
     def __init__(self, ids: np.ndarray, uids: np.ndarray, vectors: np.ndarray):
         self.ids, self.uids, self.vectors, n = ids, uids, vectors, len(ids)
@@ -36,30 +41,36 @@ class Lists:
         self.place = np.empty(vectors.shape, np.int32)
         np.put_along_axis(self.place, order, np.broadcast_to(np.arange(n, dtype=np.int32)[:, None], vectors.shape), axis=0)
 
-    def contenders(self, query: np.ndarray, k: int, known: float) -> np.ndarray:
-        """Vectors that may be among the k best, given that k scores of at least ``known`` are known elsewhere."""
+    def bounds(self, queries: np.ndarray, depth: float) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of all vectors' scores (rows) for queries (columns) once this share of each list is read."""
         n = len(self.ids)
-        used = np.flatnonzero(query)
-        q = query[used]
-        if not len(q) or n <= 4 * k:
-            return np.arange(n)
-        up = q > 0
-        place = np.where(up, self.place[:, used], n - 1 - self.place[:, used])
-        worst = q * np.where(up, self.values[0, used], self.values[-1, used])
-        vectors, columns, left = self.vectors[:, used], np.arange(len(used)), np.arange(n)
+        read = min(n, int(np.ceil(n * depth)))
+        parts = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1).T
+        if read == n:
+            exact = np.concatenate([self.vectors, self.vectors], axis=1) @ parts
+            return exact, exact
+        seen = np.concatenate([self.place >= n - read, self.place < read], axis=1)
+        both = np.concatenate([self.vectors, self.vectors], axis=1)
+        worst = np.concatenate([self.values[0], self.values[-1]])
+        last = np.concatenate([self.values[n - read], self.values[read - 1]])
+        return worst @ parts + ((both - worst) * seen) @ parts, last @ parts + ((both - last) * seen) @ parts
+
+    def contenders(self, queries: np.ndarray, k: int, known: np.ndarray) -> list[np.ndarray]:
+        """For each query the vectors that may be among its k best, given that k scores of at least ``known`` are known elsewhere."""
+        n, out = len(self.ids), [np.arange(len(self.ids))] * len(queries)
+        open_ = np.arange(len(queries)) if n > 4 * k else np.zeros(0, np.int64)
         for depth in DEPTHS:
-            read = min(n, int(np.ceil(n * depth)))
-            last = q * self.values[:, used][np.where(up, n - read, read - 1), columns]
-            seen = place[left] >= n - read
-            sums = np.where(seen, vectors[left], 0.0) @ q
-            bounds = seen.astype(np.float64) @ np.stack([worst, last], axis=1)
-            lower, upper = sums + (worst.sum() - bounds[:, 0]), sums + (last.sum() - bounds[:, 1])
-            # k + 1: one of these vectors may be the query's own row
-            best = np.partition(lower, -(k + 1))[-(k + 1)] if len(lower) > k else -np.inf
-            left = left[upper >= max(best, known)]
-            if len(left) <= 4 * k or read == n:
+            if not len(open_):
                 break
-        return left
+            lower, upper = self.bounds(queries[open_], depth)
+            # k + 1: one of these vectors may be the query's own row
+            best = np.partition(lower, n - (k + 1), axis=0)[n - (k + 1)]
+            left = upper >= np.maximum(best, known[open_])[None, :]
+            few = (left.sum(axis=0) <= 4 * k) | (depth >= 1)
+            for j in np.flatnonzero(few).tolist():
+                out[open_[j]] = np.flatnonzero(left[:, j])
+            open_ = open_[~few]
+        return out
 
 
 def best_of_group(k: int):
@@ -74,16 +85,19 @@ def best_of_group(k: int):
             ids, uids = rows["vec_id"].to_numpy(), rows["uid"].to_numpy()
             for at in range(0, len(ids), BLOCK):
                 blocks.append(Lists(ids[at : at + BLOCK], uids[at : at + BLOCK], matrix[at : at + BLOCK]))
-            for qid, quid, query in zip(queries["vec_id"].to_pylist(), queries["uid"].to_pylist(), np.array(queries["q"].to_pylist(), np.float64), strict=True):
-                top, known = [], -np.inf
+            asked = np.array(queries["q"].to_pylist(), np.float64)
+            qids, quids = queries["vec_id"].to_pylist(), queries["uid"].to_pylist()
+            for first in range(0, len(asked), TOGETHER):
+                some = asked[first : first + TOGETHER]
+                tops: list[list] = [[] for _ in some]
                 for b in blocks:
-                    at = b.contenders(query, k, known)
-                    at = at[b.uids[at] != quid]
-                    scores = b.vectors[at] @ query
-                    top += zip((-scores).tolist(), b.ids[at].tolist(), b.uids[at].tolist(), strict=True)
-                    top = sorted(top)[:k]
-                    known = -top[-1][0] if len(top) == k else -np.inf
-                found += [(quid, qid, i, int(-s), u) for s, i, u in top]
+                    known = np.array([-t[-1][0] if len(t) == k else -np.inf for t in tops])
+                    for j, at in enumerate(b.contenders(some, k, known)):
+                        at = at[b.uids[at] != quids[first + j]]
+                        scores = b.vectors[at] @ some[j]
+                        tops[j] = sorted([*tops[j], *zip((-scores).tolist(), b.ids[at].tolist(), b.uids[at].tolist(), strict=True)])[:k]
+                for j, top in enumerate(tops):
+                    found += [(quids[first + j], qids[first + j], i, int(-s), u) for s, i, u in top]
         names = ["quid", "query_id", "vec_id", "score", "uid"]
         return pa.table({c: pa.array([r[j] for r in found], pa.int64()) for j, c in enumerate(names)})
 

@@ -44,11 +44,23 @@ def test_awkward_rows(spark):
     assert topk.top_k(spark, frame.limit(0)).count() == 0
 
 
+def test_bounds_hold_and_tighten():
+    r = np.random.default_rng(3)
+    vectors, queries = np.floor(256 * r.normal(size=(300, 8))), np.floor(99 * r.normal(size=(5, 8)))
+    queries[0, 2] = 0
+    lists, exact, width = topk.Lists(np.arange(300), np.arange(300), vectors), vectors @ queries.T, np.inf
+    for depth in (0.01, 0.1, 0.5, 1.0):
+        lower, upper = lists.bounds(queries, depth)
+        assert (lower <= exact).all() and (exact <= upper).all() and (upper - lower).sum() <= width
+        width = (upper - lower).sum()
+    assert width == 0
+
+
 def test_reading_stops_early():
     r = np.random.default_rng(4)
     vectors = np.floor(256 * r.normal(size=(4000, 16)))
     vectors[7] = vectors[9] = 900
     lists = topk.Lists(np.arange(4000), np.arange(4000), vectors)
-    left = lists.contenders(np.full(16, 50.0), 5, -np.inf)
+    left = lists.contenders(np.full((1, 16), 50.0), 5, np.full(1, -np.inf))[0]
     scores = vectors @ np.full(16, 50.0)
     assert set(np.argsort(-scores)[:5]) <= set(left.tolist()) and len(left) < 400
