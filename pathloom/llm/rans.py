@@ -27,7 +27,7 @@ from .tokens import encoder
 
 MAGIC = b"RANS0001"
 HEADER = struct.Struct("<8sQIIIIII")  # magic, tokens, lanes, checkpoint steps, checkpoints, words, crc of ids, crc of the rest
-LANES, CHECKPOINT, BLOCK_TOKENS = 512, 1 << 17, 1 << 18
+LANES, CHECKPOINT, BLOCK_TOKENS = 1024, 1 << 18, 1 << 19
 LOW = 1 << 31
 
 
@@ -136,17 +136,16 @@ def staged_tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             return pa.RecordBatch.from_pylist([values], schema=schema)
 
         def block():
-            return row(part=part, start=start, n=size, doc_ids=keys, lengths=[len(p) for p in parts], ids=np.concatenate(parts).astype("<u4").tobytes())
+            nonlocal histogram
+            ids = np.concatenate(parts)
+            seen = np.bincount(ids, minlength=len(histogram))
+            seen[: len(histogram)] += histogram
+            histogram = seen
+            return row(part=part, start=start, n=size, doc_ids=keys, lengths=[len(p) for p in parts], ids=ids.astype("<u4", copy=False).tobytes())
 
         for batch in batches:
             for key, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 ids = np.concatenate([encode(text.as_py() or ""), end])
-                seen = np.bincount(ids)
-                if len(seen) > len(histogram):
-                    seen[: len(histogram)] += histogram
-                    histogram = seen
-                else:
-                    histogram[: len(seen)] += seen
                 keys.append(key)
                 parts.append(ids)
                 size += len(ids)
