@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sources.graph import warehouse_graph
+from .sources.graph import PropertyGraph, warehouse_graph
 
 
 @dataclass
@@ -22,9 +22,20 @@ class Entry:
     sorted_lists: tuple[str, ...] = ()
 
 
+_graphs: dict[tuple[str, str], PropertyGraph] = {}
+
+
+def declared(spark: SparkSession, folder: str) -> PropertyGraph:
+    """The graph over a folder's tables, declared once for a session: it holds plans, no rows, and never changes."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _graphs:
+        _graphs[key] = warehouse_graph(spark, folder)
+    return _graphs[key]
+
+
 def runner(entry: Entry) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        graph = warehouse_graph(spark, sf_dir)
+        graph = declared(spark, sf_dir)
         *updates, last = [entry.cypher] if isinstance(entry.cypher, str) else entry.cypher
         for update in updates:
             _, graph = graph.execute(update, **entry.params)
