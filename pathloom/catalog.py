@@ -184,6 +184,14 @@ ENTRIES: dict[str, Entry] = {
         "MATCH p = (a:Turn {turn: 0})-[:NEXT*2..3]->(b:Turn) WHERE a.conv_id < 100 RETURN length(p) AS len, nodes(p)[1].turn AS second, [x IN nodes(p) | x.turn] AS turns, size(relationships(p)) AS n, count(*) AS c",
         TRAILS.format(most=3) + " SELECT hops::BIGINT AS len, 1::BIGINT AS second, range(0, hops + 1) AS turns, hops::BIGINT AS n, count(*) AS c FROM w WHERE hops >= 2 AND conv_id < 100 GROUP BY hops",
     ),
+    "varlen_unbounded_whole": Entry(
+        "MATCH (a:Turn {turn: 0})-[r:NEXT*]->(b) RETURN a.conv_id AS c, max(size(r)) AS longest",
+        "SELECT conv_id AS c, max(turn)::BIGINT AS longest FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations WHERE turn >= 0) WHERE turn = place GROUP BY 1 HAVING max(turn) >= 1",
+    ),
+    "named_path_whole": Entry(
+        "MATCH p = (a:Turn {turn: 0})-[:NEXT*2..3]->(b:Turn) RETURN length(p) AS len, nodes(p)[1].turn AS second, [x IN nodes(p) | x.turn] AS turns, size(relationships(p)) AS n, count(*) AS c",
+        TRAILS.format(most=3) + " SELECT hops::BIGINT AS len, 1::BIGINT AS second, range(0, hops + 1) AS turns, hops::BIGINT AS n, count(*) AS c FROM w WHERE hops >= 2 GROUP BY hops",
+    ),
     "path_single": Entry("MATCH p = (c:Customer {custkey: 5})-[:IN_NATION]->(n)-[:IN_REGION]->(r) RETURN [x IN nodes(p) | x.name] AS names, [x IN relationships(p) | type(x)] AS types", "SELECT [c_name, n_name, r_name] AS names, ['IN_NATION', 'IN_REGION'] AS types FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey = 5"),
     "temporal_accessors": Entry(
         "MATCH (o:Order) RETURN o.orderdate.year AS y, o.orderdate.quarter AS q, o.orderdate.month AS m, o.orderdate.week AS w, o.orderdate.weekDay AS d, count(*) AS n",
@@ -197,6 +205,10 @@ ENTRIES: dict[str, Entry] = {
         "MATCH (o:Order)-[l:CONTAINS]->() WHERE o.orderkey < 200 RETURN o.orderkey AS k, duration.inDays(o.orderdate, l.shipdate).days AS days, duration.inSeconds(o.orderdate, l.shipdate).seconds AS seconds",
         "SELECT o_orderkey AS k, trunc(epoch(l_shipdate - o_orderdate) / 86400)::BIGINT AS days, epoch(l_shipdate - o_orderdate)::BIGINT AS seconds FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 200",
     ),
+    "temporal_duration_whole": Entry(
+        "MATCH (o:Order)-[l:CONTAINS]->() RETURN o.orderkey AS k, duration.inDays(o.orderdate, l.shipdate).days AS days, duration.inSeconds(o.orderdate, l.shipdate).seconds AS seconds",
+        "SELECT o_orderkey AS k, trunc(epoch(l_shipdate - o_orderdate) / 86400)::BIGINT AS days, epoch(l_shipdate - o_orderdate)::BIGINT AS seconds FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
+    ),
     "temporal_literals": Entry(
         "RETURN date('2024-W09-4').day AS a, date({year: 2020, ordinalDay: 60}).month AS b, localdatetime('2015-07-21T21:40:32.142').millisecond AS c, duration('P1Y2M10DT2H30M').minutes AS d, time('12:50:35.556+01:00').offset AS e, datetime('2015-11-11T12:31:14+02:00').epochSeconds AS f, date('2020-01-01') < date('2020-01-02') AS g, duration.between(date('1984-10-11'), date('2015-06-24')).months AS h",
         "SELECT 29::BIGINT AS a, 2::BIGINT AS b, 142::BIGINT AS c, 150::BIGINT AS d, '+01:00' AS e, 1447237874::BIGINT AS f, true AS g, 368::BIGINT AS h",

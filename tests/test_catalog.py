@@ -1,9 +1,15 @@
 """Every catalogue entry against its SQL, and the plans of some."""
 
+import datetime
+import os
+
 import duckdb
 import pytest
 from pathloom import catalog
 from pathloom.sources.graph import warehouse_graph
+from pyspark.sql import functions as F
+
+from .conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -38,3 +44,20 @@ def test_scans_read_only_what_is_asked(spark, sf_dir):
 def test_end_nodes_are_not_joined_for_their_ids(spark, sf_dir):
     plan = warehouse_graph(spark, sf_dir).cypher("MATCH (c:Customer)-[:PLACED]->(o) RETURN count(o) AS n")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") <= 1
+
+
+def test_trails_paths_and_durations_cover_whole_tables(spark, tmp_path):
+    """Ids beyond those that the entries with an id filter ask for, and a conversation longer than 8 hops."""
+    at = datetime.datetime(2020, 1, 1)
+    turns = [(c, t, "user", "x") for c, n in ((5, 2), (500, 12), (501, 1)) for t in range(n)] + [(502, 0, "user", "x"), (502, 2, "user", "x")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for t in set(TABLES) - {"conversations", "orders", "lineitem"}:
+        os.symlink(os.path.join(SF, f"{t}.parquet"), f"{tmp_path}/{t}.parquet")
+    for t, keys, dates in (("orders", ["o_orderkey"], ["o_orderdate"]), ("lineitem", ["l_orderkey"], ["l_shipdate"])):
+        one = spark.read.parquet(f"{SF}/{t}.parquet").limit(1)
+        one = one.withColumns({k: F.lit(7000).cast(one.schema[k].dataType) for k in keys})
+        one.withColumns({d: F.lit(at + datetime.timedelta(days=3 * (t == "lineitem"))).cast(one.schema[d].dataType) for d in dates}).write.parquet(f"{tmp_path}/{t}.parquet")
+    got = {n: [tuple(r) for r in catalog.QUERIES[n](spark, str(tmp_path)).collect()] for n in ("varlen_unbounded_whole", "named_path_whole", "temporal_duration_whole")}
+    assert sorted(got["varlen_unbounded_whole"]) == [(5, 1), (500, 11)]
+    assert sorted(got["named_path_whole"]) == [(2, 1, [0, 1, 2], 2, 1), (3, 1, [0, 1, 2, 3], 3, 1)]
+    assert got["temporal_duration_whole"] == [(7000, 3, 3 * 86400)]
