@@ -185,10 +185,11 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, max_labelled: int) -> t
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
     columns = features()
     rows = stats.join(known, "doc_id").select(*[c.alias(k) for k, c in columns.items()], "quality", F.xxhash64("doc_id", F.lit(11)).alias("h"), "doc_id")
-    n = known.count()
-    if n > 2 * max_labelled:  # only about twice as many as are wanted go on to the driver
-        rows = rows.filter(F.pmod("h", F.lit(n)) < 2 * max_labelled)
-    rows = rows.orderBy("h", "doc_id", *columns).limit(max_labelled).collect()
+    least = lambda rows: rows.orderBy("h", "doc_id", *columns).limit(max_labelled).collect()
+    n, sample = rows.count(), []
+    if n > 2 * max_labelled:  # only hashes below a bound that about twice as many as are wanted have go on to the driver
+        sample = least(rows.filter(F.col("h") < F.lit(-(1 << 63) + (1 << 65) * max_labelled // n)))
+    rows = sample if len(sample) == max_labelled else least(rows)
     return [{k: r[k] for k in columns} for r in rows], [r.quality == 0 for r in rows]
 
 

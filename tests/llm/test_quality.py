@@ -51,3 +51,12 @@ def test_no_labels_and_empty(spark):
     assert quality.judged(spark, documents(spark, []), labels).count() == 0
     nulls = spark.createDataFrame([(None, 1, 0), (3, None, 0), (99, 0, 0), (5, 0, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.kept_documents(spark, documents(spark), nulls).columns == documents(spark).columns
+
+
+def test_sample_is_full_where_most_labels_have_no_row(spark):
+    stats = quality.statistics(documents(spark, [(i, f"some words of text {i} and more", "s") for i in range(60)]), ["doc_id"])
+    labels = spark.range(6000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    rows, bad = quality.labelled_sample(stats, labels, 25)
+    assert len(rows) == len(bad) == 25
+    want = spark.range(60).selectExpr("id", "xxhash64(id, 11) AS h").orderBy("h").limit(25).collect()
+    assert bad == [r.id % 2 == 0 for r in want]
