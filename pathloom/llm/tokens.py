@@ -2,15 +2,21 @@
 
 Both public byte-pair vocabularies cut a text into pieces (a word with the space before it, a number, a run of signs,
 white space) and encode each piece by itself. Texts of Latin letters, whose classes no library disputes, are cut here
-by the vocabulary's own pattern and new pieces go to the library's model. Other texts are cut before runs of plain
-white space, which is always a piece's border, and the chunks go through the library's whole pipeline; texts with any
-other white space go through it in one. All three ways give the ids of the whole text.
+by the vocabulary's own pattern and new pieces go to the library's model; for a vocabulary of lower case a text is Latin
+if it still is in lower case (some capitals below U+0250 have small letters above it). Other texts are cut before runs of
+plain white space, which is always a piece's border, and the chunks go through the library's whole pipeline; texts with
+any other white space go through it in one. All three ways give the ids of the whole text; the tests hold every code
+point below U+3000, in several contexts, against the library.
+
+What a worker remembers is bounded in bytes (``Remembered``), so that a worker that Spark reuses for another job holds
+no more than that.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -27,10 +33,41 @@ PIECES = {
     "bytes": re.compile(rf"{SHORT}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"),
     "words": re.compile(rf"{SHORT}|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+"),
 }
-MAX_KNOWN, MAX_PIECE = 1_000_000, 64
+#: Bytes that a memory of pieces may hold, by a rough count of its strings and ids, and the longest piece it takes.
+KNOWN_BYTES, MAX_PIECE = 128 << 20, 64
 _encoders: dict[str, PieceEncoder] = {}
 
 
+class Remembered:
+    """Ids of pieces, as bytes, in two generations: pieces of the older one that are met again move to the younger one; when that is full, the older one goes."""
+
+    def __init__(self, most: int = KNOWN_BYTES):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size, self.most = 0, most
+
+    def missing(self, parts: list[str]) -> list[str]:
+        """Distinct pieces that are not known; the known ones are in ``young`` from now on, until the next call of ``trim``."""
+        new = []
+        for p in {*parts}.difference(self.young):
+            if p in self.old:
+                self.add(p, self.old[p])
+            else:
+                new.append(p)
+        return new
+
+    def add(self, piece: str, ids: bytes) -> None:
+        self.young[piece] = ids
+        self.size += 200 + len(piece) + len(ids)
+
+    def drop(self, piece: str) -> None:
+        self.size -= 200 + len(piece) + len(self.young.pop(piece))
+
+    def trim(self) -> None:
+        if 2 * self.size > self.most:
+            self.young, self.old, self.size = {}, self.young, 0
+
+
 def vocabulary(name: str) -> str:
     """Place of a public vocabulary file; any other path may be given in its stead."""
     import public_tokenizers
@@ -46,7 +83,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class PieceEncoder:
-    """encode(text) gives the ids; pieces that were seen are kept up to a fixed number, which bounds memory."""
+    """encode(text) gives the ids; pieces that were seen are remembered within a bound of bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,8 +94,7 @@ class PieceEncoder:
         self.kind = "words" if self.library.model.end_of_word_suffix else "bytes"
         self.letters = byte_letters()
         self.model = self.library.model
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.pieces, self.chunks = Remembered(), Remembered()
 
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -66,38 +102,32 @@ class PieceEncoder:
     def encode(self, text: str) -> np.ndarray:
         if ODD.search(text):
             return np.asarray(self.whole(text), np.uint32)
-        if NOT_LATIN.search(text):
+        lower = text.lower() if self.kind == "words" else text
+        if NOT_LATIN.search(text) or (lower is not text and NOT_LATIN.search(lower)):
             return self.joined(CHUNK.findall(text), self.chunks, self.encode_chunks)
-        if self.kind == "words":
-            text = text.lower()
-            if "̇" in text:  # a dotted capital I gives a mark of its own
-                return self.joined(CHUNK.findall(text), self.chunks, self.encode_chunks)
-        return self.joined(PIECES[self.kind].findall(text), self.pieces, self.encode_pieces)
+        return self.joined(PIECES[self.kind].findall(lower), self.pieces, self.encode_pieces)
 
     def encode_pieces(self, new: list[str]):
         letters, tokenize = self.letters, self.model.tokenize
         for piece in new:
-            yield tuple(t.id for t in tokenize("".join([letters[b] for b in piece.encode()])))
+            yield array("I", [t.id for t in tokenize("".join([letters[b] for b in piece.encode()]))]).tobytes()
 
     def encode_chunks(self, new: list[str]):
         for at in range(0, len(new), 4096):
             for e in self.library.encode_batch_fast(new[at : at + 4096], add_special_tokens=False):
-                yield tuple(e.ids)
+                yield array("I", e.ids).tobytes()
 
     @staticmethod
-    def joined(parts: list[str], known: dict[str, tuple[int, ...]], encode) -> np.ndarray:
-        new = [p for p in {*parts} if p not in known]
-        if len(known) + len(new) > MAX_KNOWN:
-            known.clear()
-            new = [*{*parts}]
-        known.update(zip(new, encode(new), strict=True))
-        ids: list[int] = []
-        for p in parts:
-            ids += known[p]
+    def joined(parts: list[str], known: Remembered, encode) -> np.ndarray:
+        new = known.missing(parts)
+        for p, ids in zip(new, encode(new), strict=True):
+            known.add(p, ids)
+        out = np.frombuffer(b"".join(map(known.young.__getitem__, parts)), np.uint32)
         for p in new:
             if len(p) > MAX_PIECE:
-                del known[p]
-        return np.asarray(ids, np.uint32)
+                known.drop(p)
+        known.trim()
+        return out
 
 
 def encoder(path: str) -> PieceEncoder:
