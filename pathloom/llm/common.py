@@ -3,51 +3,74 @@
 from __future__ import annotations
 
 import contextlib
-import os
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import folder, gone_at_exit
+
 #: A word is a run of characters outside ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests, a laptop) a local one is made and set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        folder = f"file://{tempfile.mkdtemp(dir='/tmp/checkpoints')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
+_collecting: ContextVar[list[Scratch] | None] = ContextVar("collecting", default=None)
 
-class Scratch:
-    """Tables of one run under a folder of its own; drop() removes those that no later step reads."""
 
-    #: All that this process has made, for those who know when a run's tables are no longer read.
+@contextlib.contextmanager
+def collected() -> Iterator[list[Scratch]]:
+    """Gives the list of the Scratch folders that are made inside, in this thread alone, for a run that drops them once its result is written."""
     made: list[Scratch] = []
+    token = _collecting.set(made)
+    try:
+        yield made
+    finally:
+        _collecting.reset(token)
+
+
+class Scratch:
+    """Tables of one run under a folder of its own in the shared folder; the run drops those that no later step reads, and the file system all that are left when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        Scratch.made.append(self)
+        self.spark, self.path, self.names = spark, f"{folder(spark)}/{name}-{uuid.uuid4().hex[:12]}", []
+        if (made := _collecting.get()) is not None:
+            made.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Writes the table once and gives it as a plain scan, which cuts the lineage."""
         df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        if not self.names:
+            gone_at_exit(self.spark, self.path)
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str = "") -> None:
         """Removes one table, or the whole folder."""
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        self.names = [n for n in self.names if name and n != name]
         with contextlib.suppress(Exception):  # a folder that stays only costs disk
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep(self, *names: str) -> None:
+        """Removes all tables but these."""
+        for name in [*self.names]:
+            if name not in names:
+                self.drop(name)
+
+
+def row_of(df: DataFrame):
+    """Column: all columns of the frame as one struct, whatever their names."""
+    return F.struct(*[own(c) for c in df.columns])
+
+
+def own(name: str):
+    return F.col("`" + name.replace("`", "``") + "`")
+
 
 def tidy(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove shuffle files of finished steps, which else stay until the driver collects its garbage."""

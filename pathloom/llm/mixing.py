@@ -19,7 +19,7 @@ from math import gcd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch
+from .common import WORD, Scratch, row_of
 
 #: Sources are a setting, not data: their list is held on the driver.
 MAX_SOURCES = 10_000
@@ -151,7 +151,7 @@ def mix_counts(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
 def mix_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: for each pass over a document, its taken words in order; all of them are the text as it was. n_chars follows the text."""
     scratch = Scratch(spark, "mix")
-    rows = scratch.write(measured(docs, ["doc_id", F.struct(*docs.columns).alias("doc")]), "rows")
+    rows = scratch.write(measured(docs, ["doc_id", row_of(docs).alias("doc")]), "rows")
     pieces = mixed(spark, rows, scratch, **options).filter("times > 0")
     spans = pieces.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "times"))).alias("spans"))
     out = rows.join(spans, "uid").withColumn("pass", F.explode(F.sequence(F.lit(1), F.array_max(F.col("spans.times")).cast("int"))))

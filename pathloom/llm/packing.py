@@ -240,6 +240,7 @@ def packed(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 0, cap
     """Every piece with its sequence and offset: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     scratch = Scratch(spark, "packing")
     rows = scratch.write(ranked(scratch.write(pieces_of(docs, path, end_id, capacity), "pieces")), "ranked")
+    scratch.drop("pieces")
     tidy(spark)
     # at most capacity lengths, and one more row for each partition that a length is spread over
     base, counts = {}, defaultdict(int)

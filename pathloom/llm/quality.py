@@ -19,7 +19,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, words
+from .common import SPACES, row_of, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -78,8 +78,10 @@ def statistics(docs: DataFrame, keep: list, text: str = "text") -> DataFrame:
     def of_lines(found: Column) -> Column:
         return F.struct(F.size(found).cast("long").alias("n_lines"), (F.size(found) - F.size(F.array_distinct(found))).cast("long").alias("n_dup_lines"))
 
-    out = docs.select(F.struct(*keep).alias("k"), let(words(text), of_words).alias("w"), let(lines, of_lines).alias("l"))
-    return out.select("k.*", "w.n_words", "w.word_chars", "w.n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines")
+    # a generator of one row: no later filter is pushed below it, which would compute all this once more
+    measured = F.explode(F.array(F.struct(let(words(text), of_words).alias("w"), let(lines, of_lines).alias("l"))))
+    out = docs.select(F.struct(*keep).alias("k"), measured.alias("m"))
+    return out.select("k.*", "m.w.n_words", "m.w.word_chars", "m.w.n_symbols", "m.l.n_dup_lines", "m.w.n_repeat_words", "m.l.n_lines")
 
 
 def features() -> dict[str, Column]:
@@ -180,29 +182,32 @@ def rejected(rules: list[list[tuple[str, str, float]]], columns: dict[str, Colum
     return F.lit(False) if out is None else out.otherwise(False)
 
 
-def labelled_sample(stats: DataFrame, labels: DataFrame, max_labelled: int) -> tuple[list[dict[str, float]], list[bool]]:
-    """Features and classes of the labelled rows with the smallest hashes, in the order of the hashes."""
+def labelled_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: int) -> tuple[list[dict[str, float]], list[bool]]:
+    """Features and classes of the labelled documents that pass the base rules, those with the smallest hashes of their ids, in the order of the hashes.
+
+    Only about as many documents as are wanted are measured: those whose hash lies below a bound, which is doubled
+    until enough of them pass or all labelled documents have been looked at."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    columns = features()
-    rows = stats.join(known, "doc_id").select(*[c.alias(k) for k, c in columns.items()], "quality", F.xxhash64("doc_id", F.lit(11)).alias("h"), "doc_id")
-    least = lambda rows: rows.orderBy("h", "doc_id", *columns).limit(max_labelled).collect()
-    n, sample = rows.count(), []
-    if n > 2 * max_labelled:  # only hashes below a bound that about twice as many as are wanted have go on to the driver
-        sample = least(rows.filter(F.col("h") < F.lit(-(1 << 63) + (1 << 65) * max_labelled // n)))
-    rows = sample if len(sample) == max_labelled else least(rows)
-    return [{k: r[k] for k in columns} for r in rows], [r.quality == 0 for r in rows]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    n, share, columns = rows.select("doc_id").join(known, "doc_id").count(), 2 * max_labelled, features()
+    while True:
+        below = F.xxhash64("doc_id", F.lit(11)) <= F.lit(min((1 << 63) - 1, -(1 << 63) + (1 << 64) * share // max(n, 1)))
+        few = rows.filter(below).join(known.filter(below), "doc_id")
+        passed = statistics(few, [F.col("doc_id"), F.col("quality")]).filter(~base_failed())
+        found = passed.select(*[c.alias(k) for k, c in columns.items()], "quality", F.xxhash64("doc_id", F.lit(11)).alias("h"), "doc_id").orderBy("h", "doc_id", *columns).limit(max_labelled).collect()
+        if len(found) == max_labelled or share >= n:
+            return [{k: r[k] for k in columns} for r in found], [r.quality == 0 for r in found]
+        share *= 2
 
 
 def judged(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep: list | None = None, *, max_labelled: int = MAX_LABELLED, **options) -> DataFrame:
-    """Statistics of every document with base_failed and kept, from rules learned on the labelled ones."""
-    scratch = Scratch(spark, "quality")
-    stats = scratch.write(statistics(docs, [F.col("doc_id").cast("long").alias("doc_id"), *(keep or [])]), "statistics")
-    sample = labelled_sample(stats.filter(~base_failed()), labels, max_labelled)
-    rules = learn_rules(*sample, **options)
+    """Statistics of every document with base_failed and kept, from rules learned on the labelled ones; the one pass over the texts is the caller's."""
+    rules = learn_rules(*labelled_sample(spark, docs, labels, max_labelled), **options)
+    stats = statistics(docs, [F.col("doc_id").cast("long").alias("doc_id"), *(keep or [])])
     failed = base_failed()
     return stats.withColumn("base_failed", failed).withColumn("kept", F.when(failed, False).otherwise(~rejected(rules, features())))
 
 
 def kept_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that pass, with their columns as they were."""
-    return judged(spark, docs, labels, [F.struct(*docs.columns).alias("doc")], **options).filter("kept").select("doc.*")
+    return judged(spark, docs, labels, [row_of(docs).alias("doc")], **options).filter("kept").select("doc.*")

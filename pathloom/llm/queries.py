@@ -26,7 +26,8 @@ def passage_digests(found: DataFrame) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passage_digests(suffixes.deduplicated(spark, table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return passage_digests(suffixes.deduplicated(spark, docs))
 
 
 def simhash_digests(grouped: DataFrame) -> DataFrame:

@@ -205,13 +205,5 @@ def grouped_documents(spark: SparkSession, docs: DataFrame, distance: int = 3, w
     of_node = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = of_node.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_node = scratch.write(of_node.join(least, "root").select("fp", "component_id"), "components")
+    scratch.keep("fingerprints", "components")
     return rows.join(of_node, "fp").select("doc_id", "fp", "component_id")
-
-
-def first_documents(spark: SparkSession, docs: DataFrame, distance: int = 3, words: int = 3) -> DataFrame:
-    """One document of each component, the one with the smallest id, its columns as they were; of rows that repeat that id the least."""
-    scratch = Scratch(spark, "simhash-kept")
-    grouped = grouped_documents(spark, docs, distance, words)
-    kept = scratch.write(grouped.filter("doc_id <=> component_id").select("doc_id").distinct(), "kept")
-    rows = docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.groupBy(F.col("doc_id").alias("key")).agg(F.min(F.struct(*docs.columns)).alias("d")).select("d.*")

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from .common import Scratch, pack, tidy, unpack
 
@@ -138,12 +139,12 @@ def parsed(data: bytes, ends: np.ndarray, length: int, gram: int, window: int) -
     return {"place": place, "lo": lo, "hi": hi, "symbol": np.maximum(symbol, 1), "around": around, "need": np.where(hi >= lo, np.maximum(need, 1), 0), "doc": doc}
 
 
-def chunks_of(docs: DataFrame, length: int, gram: int, window: int) -> DataFrame:
-    """chunk, docs (ids), sizes, text (all bytes), anchors (frozen), n_bytes, need (most symbols that any anchor needs)."""
+def chunks_of(docs: DataFrame, text: str, length: int, gram: int, window: int) -> DataFrame:
+    """chunk, rows (the other columns, as a compressed Arrow stream), sizes, text (all bytes), anchors (frozen), n_bytes, need (most symbols that any anchor needs)."""
 
     def read(batches):
         part, number = TaskContext.get().partitionId(), 0
-        ids, texts, found, held, base, size = [], [], [], [], 0, 0
+        rows, texts, found, held, base, size = [], [], [], [], 0, 0
 
         def parse():
             nonlocal base
@@ -162,28 +163,40 @@ def chunks_of(docs: DataFrame, length: int, gram: int, window: int) -> DataFrame
             parse()
             x = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
             sizes = [len(t) for t in texts]
-            row = pa.RecordBatch.from_arrays([pa.array([(part << 32) | number]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([freeze(b"".join(texts))]), pa.array([freeze(x)]), pa.array([sum(sizes)]), pa.array([int(x["need"].max(initial=0))])], names=["chunk", "docs", "sizes", "text", "anchors", "n_bytes", "need"])
+            row = pa.RecordBatch.from_arrays([pa.array([(part << 32) | number]), pa.array([stored(rows)]), pa.array([sizes], pa.list_(pa.int64())), pa.array([freeze(b"".join(texts))]), pa.array([freeze(x)]), pa.array([sum(sizes)]), pa.array([int(x["need"].max(initial=0))])], names=["chunk", "rows", "sizes", "text", "anchors", "n_bytes", "need"])
             number, base, size = number + 1, 0, 0
-            for v in (ids, texts, found):
+            for v in (rows, texts, found):
                 v.clear()
             return row
 
-        for rows in batches:
-            for key, text in zip(rows["doc_id"].to_pylist(), rows["text"], strict=True):
-                body = (text.as_py() or "").encode()
+        for batch in batches:
+            others, from_ = batch.select([i for i in range(batch.num_columns) if i != at]), 0
+            for i, body in enumerate(batch.column(at)):
+                body = (body.as_py() or "").encode()
                 if held and (len(body) > BATCH_BYTES or sum(map(len, held)) > BATCH_BYTES):
                     parse()
-                ids.append(key)
                 texts.append(body)
                 held.append(body)
                 size += len(body)
                 if size >= CHUNK_BYTES:
+                    rows.append(others.slice(from_, i + 1 - from_))
+                    from_ = i + 1
                     yield chunk()
-        if ids:
+            if from_ < len(batch):
+                rows.append(others.slice(from_))
+        if texts:
             yield chunk()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(read, "chunk long, docs array<long>, sizes array<long>, text binary, anchors binary, n_bytes long, need long")
+    at = docs.columns.index(text)
+    return docs.mapInArrow(read, "chunk long, rows binary, sizes array<long>, text binary, anchors binary, n_bytes long, need long")
+
+
+def stored(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        for b in batches:
+            writer.write_batch(b)
+    return sink.getvalue().to_pybytes()
 
 
 def distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -341,12 +354,12 @@ def split(values: np.ndarray, requests: list) -> list[np.ndarray]:
     return np.split(values, np.cumsum([len(r[0]) for r in requests])[:-1])
 
 
-def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The chunks of the documents, and for each chunk (frozen) the starts and ends of what to remove, in its bytes."""
+def repeated_passages(spark: SparkSession, docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """The chunks of the documents, and for each chunk (frozen) the starts and ends of what to remove, in its bytes; both written, other tables dropped."""
     if length < 2 * window + gram - 1:
         raise ValueError("length is too small for the window")
     scratch = Scratch(spark, "suffixes")
-    chunks = scratch.write(chunks_of(docs, length, gram, window), "chunks")
+    chunks = scratch.write(chunks_of(docs, text, length, gram, window), "chunks")
     tidy(spark)
     n_bytes, need = chunks.agg(F.sum("n_bytes"), F.max("need")).first()
     buckets, depth = max(LEAST, -(-(n_bytes or 0) // BUCKET_BYTES)), 1
@@ -487,23 +500,30 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = LENGTH
         return rows_table(out)
 
     found = exchange.state.groupBy("chunk").cogroup(exchange.replies.groupBy("chunk")).applyInArrow(spans, ROWS)
-    return chunks, scratch.write(found, "spans")
+    found = scratch.write(found, "spans")
+    scratch.keep("chunks", "spans")
+    return chunks, found
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_bytes, spans (start and end of each removed run, in bytes), kept (the remaining bytes)."""
-    chunks, found = repeated_passages(spark, docs, **options)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
+def deduplicated(spark: SparkSession, docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """Every row with its other columns, and n_bytes, spans (start and end of each removed run, in bytes) and kept (the remaining bytes), which replace columns of these names."""
+    added = pa.schema([("n_bytes", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
+    docs = docs.drop(*(c for c in docs.columns if c in added.names and c != text))
+    chunks, found = repeated_passages(spark, docs, text, **options)
+    schema = S.StructType([f for f in docs.schema.fields if f.name != text])
+    for name, kind in (("n_bytes", S.LongType()), ("spans", S.ArrayType(S.ArrayType(S.LongType()))), ("kept", S.BinaryType())):
+        schema = schema.add(name, kind)
 
     def cut(batches):
         for batch in batches:
-            for ids, sizes, text, data in zip(*(batch[c].to_pylist() for c in ("docs", "sizes", "text", "data")), strict=True):
-                text, (a, b) = thaw(text), thaw(data)
+            for rows, sizes, body, data in zip(*(batch[c].to_pylist() for c in ("rows", "sizes", "text", "data")), strict=True):
+                body, (a, b) = thaw(body), thaw(data)
+                rows = pa.ipc.open_stream(rows).read_all()
                 ends = np.cumsum(sizes)
                 doc = np.searchsorted(ends, a, side="right")
                 # runs of neighbouring documents may touch in the chunk's bytes
                 cuts = [(i, int(s), int(e)) for i, s, e in zip(doc, a, b, strict=True)]
-                of = [[] for _ in ids]
+                of = [[] for _ in sizes]
                 for i, s, e in cuts:
                     while s < e:
                         stop = min(e, int(ends[i]))
@@ -516,26 +536,31 @@ def deduplicated(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
                     at = base = int(ends[i]) - sizes[i]
                     parts = []
                     for s, e in runs:
-                        parts.append(text[at : base + s])
+                        parts.append(body[at : base + s])
                         at = base + e
-                    kept.append(b"".join([*parts, text[at : int(ends[i])]]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(of, schema.field("spans").type), pa.array(kept, pa.binary())], schema=schema)
+                    kept.append(b"".join([*parts, body[at : int(ends[i])]]))
+                columns = [*rows.columns, pa.array(sizes, pa.int64()), pa.array(of, added.field("spans").type), pa.array(kept, pa.binary())]
+                yield from pa.table(columns, names=[*rows.column_names, *added.names]).to_batches()
 
-    both = chunks.select("chunk", "docs", "sizes", "text").join(found.select("chunk", "data"), "chunk")
-    return both.mapInArrow(cut, "doc_id long, n_bytes long, spans array<array<long>>, kept binary")
+    both = chunks.select("chunk", "rows", "sizes", "text").join(found.select("chunk", "data"), "chunk")
+    return both.select("rows", "sizes", "text", "data").mapInArrow(cut, schema)
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The documents without repeated passages, other columns as they were; a character that loses a byte goes, n_chars follows the text, and documents that keep no word go."""
-    rows = Scratch(spark, "suffixes-documents").write(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
-    cleaned = deduplicated(spark, rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), **options)
+    text = "text"
+    names = [f"c{i}" for i in range(len(docs.columns))]  # columns may have any names
+    renamed = docs.toDF(*names)
+    body = names[docs.columns.index(text)]
+    cleaned = deduplicated(spark, renamed.withColumn(body, F.col(body).cast("string")), body, **options)
+    schema = S.StructType([*(f for f in cleaned.schema.fields if f.name not in ("n_bytes", "spans", "kept")), S.StructField("kept", S.StringType())])
 
     def decode(batches):
         for batch in batches:
             texts = [k.decode(errors="ignore") for k in batch["kept"].to_pylist()]
             keep = [bool(t.encode().split()) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], names=["row", "kept"]).filter(pa.array(keep, pa.bool_()))
+            others = [c for c in batch.schema.names if c not in ("n_bytes", "spans", "kept")]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in others), pa.array(texts, pa.string())], names=[*others, "kept"]).filter(pa.array(keep, pa.bool_()))
 
-    cleaned = cleaned.select("doc_id", "kept").mapInArrow(decode, "row long, kept string")
-    changed = {"text": F.col("kept"), "n_chars": F.length("kept")}
-    return rows.join(cleaned, "row").select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col("doc")[c].alias(c) for c in docs.columns])
+    changed = {text: F.col("kept"), "n_chars": F.length("kept")}
+    return cleaned.mapInArrow(decode, schema).select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

@@ -2,6 +2,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 from pathloom.llm import mixing, quality
+from pyspark.sql import functions as F
 
 from . import test_quality, test_suffixes
 from .fixtures import TEXTS, documents
@@ -47,14 +48,25 @@ def test_run_is_the_stages_in_order(spark, sf_dir):
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns) and out.count() > 0
 
 
+def test_runs_do_not_touch_each_other(spark, sf_dir):
+    first = corpus_pipeline.run(spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50)
+    lazy = [stage(spark, docs, sf_dir) for _, stage in corpus_pipeline.STAGES]
+    second = corpus_pipeline.run(spark, sf_dir)
+    assert first.count() == second.count() > 0
+    assert all(x.count() >= 0 for x in lazy)
+
+
 def test_awkward_rows(spark, tmp_path):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     clean = (77, " ".join(f"word{i * i % 1009}" for i in range(300)), None)
     for rows in ([*TEXTS, clean], []):
-        docs = documents(spark, rows)
+        docs = documents(spark, rows).withColumns({"a.b": F.lit(1), "kept": F.lit("k"), "n_bytes": F.lit(None).cast("int")})
+        columns = docs.columns
         for name, stage in corpus_pipeline.STAGES:
             stage(spark, docs, str(tmp_path)).write.parquet(out := f"{tmp_path}/{len(rows)}-{name}")
             docs = spark.read.parquet(out)
+            assert name == "packed_sequences" or docs.columns == columns
         assert (docs.count() > 0) == bool(rows)
     assert quality.features()

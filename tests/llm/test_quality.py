@@ -54,9 +54,16 @@ def test_no_labels_and_empty(spark):
 
 
 def test_sample_is_full_where_most_labels_have_no_row(spark):
-    stats = quality.statistics(documents(spark, [(i, f"some words of text {i} and more", "s") for i in range(60)]), ["doc_id"])
+    prose = " ".join(f"w{i}" for i in range(25))
+    docs = documents(spark, [(i, prose if i % 3 else "too short", "s") for i in range(60)])
     labels = spark.range(6000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
-    rows, bad = quality.labelled_sample(stats, labels, 25)
+    rows, bad = quality.labelled_sample(spark, docs, labels, 25)
     assert len(rows) == len(bad) == 25
-    want = spark.range(60).selectExpr("id", "xxhash64(id, 11) AS h").orderBy("h").limit(25).collect()
+    want = spark.range(60).filter("id % 3 > 0").selectExpr("id", "xxhash64(id, 11) AS h").orderBy("h").limit(25).collect()
     assert bad == [r.id % 2 == 0 for r in want]
+
+
+def test_statistics_are_computed_once(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = quality.kept_documents(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
