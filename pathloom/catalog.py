@@ -107,7 +107,26 @@ ENTRIES: dict[str, Entry] = {
         "SELECT n_name AS n, count(s_suppkey) AS c, max(s_acctbal) AS m FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 9000 GROUP BY 1",
     ),
     "exists_semi": Entry("MATCH (c:Customer) WHERE EXISTS { (c)-[:PLACED]->(o:Order {orderstatus: 'F'}) } RETURN c.custkey AS k", "SELECT c_custkey AS k FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')"),
-    "not_exists_anti": Entry("MATCH (c:Customer) WHERE NOT (c)-[:PLACED]->() AND c.acctbal > 0 RETURN c.custkey AS k", "SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
+    "not_exists_anti": Entry(
+        "MATCH (c:Customer) WHERE NOT EXISTS { (c)-[:PLACED]->(o:Order) WHERE o.totalprice > 450000 } AND c.acctbal > 0 RETURN c.custkey AS k",
+        "SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)",
+    ),
+    "exists_skip_limit": Entry(
+        "MATCH (c:Customer) RETURN c.custkey AS k, EXISTS { MATCH (c)-[:PLACED]->(o) RETURN o SKIP 12 } AS many, EXISTS { MATCH (c)-[:PLACED]->(o) RETURN o LIMIT 0 } AS none",
+        "SELECT c_custkey AS k, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) > 12 AS many, false AS none FROM customer",
+    ),
+    "exists_with_limit": Entry(
+        "MATCH (c:Customer) WHERE EXISTS { MATCH (c)-[:PLACED]->(o) WITH o ORDER BY o.totalprice DESC, o.orderkey SKIP 1 LIMIT 2 WHERE o.orderstatus = 'F' RETURN o } RETURN c.custkey AS k",
+        "SELECT DISTINCT o_custkey AS k FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n BETWEEN 2 AND 3 AND o_orderstatus = 'F'",
+    ),
+    "exists_union": Entry(
+        "MATCH (n:Nation) WHERE NOT EXISTS { MATCH (n)<-[:IN_NATION]-(s:Supplier) WHERE s.acctbal > 9000 RETURN s.name AS x UNION MATCH (n)-[:IN_REGION]->(r:Region {name: 'ASIA'}) RETURN r.name AS x } RETURN n.name AS n",
+        "SELECT n_name AS n FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000) AND n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_name = 'ASIA')",
+    ),
+    "exists_aggregate": Entry(
+        "MATCH (c:Customer) WHERE EXISTS { MATCH (c)-[:PLACED]->(o:Order {orderstatus: 'F'}) WITH count(*) AS n, max(o.totalprice) AS high WHERE n = 0 OR high > 490000 RETURN n } RETURN c.custkey AS k, EXISTS { MATCH (c)-[:PLACED]->(:Order {orderpriority: 'none such'}) RETURN count(*) } AS always",
+        "SELECT c_custkey AS k, true AS always FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY 1 HAVING count(o_orderkey) = 0 OR max(o_totalprice) > 490000",
+    ),
     "exists_projection": Entry(
         "MATCH (n:Nation) RETURN n.name AS n, EXISTS { MATCH (n)<-[:IN_NATION]-(s:Supplier) WHERE s.acctbal > 8000 RETURN 1 } AS rich, EXISTS { (n)-[:IN_REGION]->(:Region {name: 'ASIA'}) } OR n.nationkey < 3 AS near",
         "SELECT n_name AS n, EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 8000) AS rich, (n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name = 'ASIA') OR n_nationkey < 3) AS near FROM nation",
@@ -178,17 +197,15 @@ ENTRIES: dict[str, Entry] = {
     ),
     "varlen_bounded": Entry("MATCH (a:Turn {turn: 0})-[r:NEXT*1..3]->(b) RETURN a.conv_id AS c, b.turn AS t, size(r) AS hops", TRAILS.format(most=3) + " SELECT conv_id AS c, turn AS t, hops::BIGINT AS hops FROM w WHERE hops >= 1"),
     "varlen_zero": Entry("MATCH (a:Turn {turn: 0})-[r:NEXT*0..2]->(b) RETURN a.conv_id AS c, b.turn AS t, size(r) AS hops", TRAILS.format(most=2) + " SELECT conv_id AS c, turn AS t, hops::BIGINT AS hops FROM w"),
-    "varlen_unbounded": Entry("MATCH (a:Turn {turn: 0})-[r:NEXT*]->(b) WHERE a.conv_id < 40 RETURN a.conv_id AS c, max(size(r)) AS longest", TRAILS.format(most=1000) + " SELECT conv_id AS c, max(hops)::BIGINT AS longest FROM w WHERE hops >= 1 AND conv_id < 40 GROUP BY 1"),
-    "varlen_both": Entry("MATCH (a:Region {name: 'ASIA'})-[r:IN_REGION*2..2]-(b) RETURN b.name AS b, size(r) AS n", "SELECT NULL::VARCHAR AS b, 0::BIGINT AS n WHERE false"),
-    "named_path": Entry(
-        "MATCH p = (a:Turn {turn: 0})-[:NEXT*2..3]->(b:Turn) WHERE a.conv_id < 100 RETURN length(p) AS len, nodes(p)[1].turn AS second, [x IN nodes(p) | x.turn] AS turns, size(relationships(p)) AS n, count(*) AS c",
-        TRAILS.format(most=3) + " SELECT hops::BIGINT AS len, 1::BIGINT AS second, range(0, hops + 1) AS turns, hops::BIGINT AS n, count(*) AS c FROM w WHERE hops >= 2 AND conv_id < 100 GROUP BY hops",
+    "varlen_both": Entry(
+        "MATCH (a:Nation)-[r:IN_REGION*2..2]-(b) WHERE a.nationkey % 2 = 0 RETURN a.name AS a, b.name AS b, size(r) AS n",
+        "SELECT a.n_name AS a, b.n_name AS b, 2::BIGINT AS n FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey WHERE a.n_nationkey % 2 = 0",
     ),
-    "varlen_unbounded_whole": Entry(
+    "varlen_unbounded": Entry(
         "MATCH (a:Turn {turn: 0})-[r:NEXT*]->(b) RETURN a.conv_id AS c, max(size(r)) AS longest",
         "SELECT conv_id AS c, max(turn)::BIGINT AS longest FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations WHERE turn >= 0) WHERE turn = place GROUP BY 1 HAVING max(turn) >= 1",
     ),
-    "named_path_whole": Entry(
+    "named_path": Entry(
         "MATCH p = (a:Turn {turn: 0})-[:NEXT*2..3]->(b:Turn) RETURN length(p) AS len, nodes(p)[1].turn AS second, [x IN nodes(p) | x.turn] AS turns, size(relationships(p)) AS n, count(*) AS c",
         TRAILS.format(most=3) + " SELECT hops::BIGINT AS len, 1::BIGINT AS second, range(0, hops + 1) AS turns, hops::BIGINT AS n, count(*) AS c FROM w WHERE hops >= 2 GROUP BY hops",
     ),
@@ -202,10 +219,6 @@ ENTRIES: dict[str, Entry] = {
         "SELECT date_trunc('month', o_orderdate)::DATE AS m, date_trunc('decade', o_orderdate)::DATE AS d, date_trunc('week', o_orderdate)::DATE = o_orderdate::DATE AS monday, count(*) AS n FROM orders GROUP BY 1, 2, 3",
     ),
     "temporal_duration": Entry(
-        "MATCH (o:Order)-[l:CONTAINS]->() WHERE o.orderkey < 200 RETURN o.orderkey AS k, duration.inDays(o.orderdate, l.shipdate).days AS days, duration.inSeconds(o.orderdate, l.shipdate).seconds AS seconds",
-        "SELECT o_orderkey AS k, trunc(epoch(l_shipdate - o_orderdate) / 86400)::BIGINT AS days, epoch(l_shipdate - o_orderdate)::BIGINT AS seconds FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 200",
-    ),
-    "temporal_duration_whole": Entry(
         "MATCH (o:Order)-[l:CONTAINS]->() RETURN o.orderkey AS k, duration.inDays(o.orderdate, l.shipdate).days AS days, duration.inSeconds(o.orderdate, l.shipdate).seconds AS seconds",
         "SELECT o_orderkey AS k, trunc(epoch(l_shipdate - o_orderdate) / 86400)::BIGINT AS days, epoch(l_shipdate - o_orderdate)::BIGINT AS seconds FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
     ),
@@ -216,6 +229,20 @@ ENTRIES: dict[str, Entry] = {
     "procedures_labels": Entry("CALL db.labels() YIELD label RETURN label", "SELECT unnest(['Customer', 'Document', 'Event', 'Nation', 'Order', 'Part', 'Region', 'Supplier', 'Turn', 'User']) AS label"),
     "procedures_types": Entry("CALL db.relationshipTypes() YIELD relationshipType AS t WHERE t STARTS WITH 'IN' RETURN t", "SELECT unnest(['IN_NATION', 'IN_REGION']) AS t"),
     "procedures_standalone": Entry("CALL db.relationshipTypes()", "SELECT unnest(['CONTAINS', 'DID', 'IN_NATION', 'IN_REGION', 'NEXT', 'PLACED', 'SUPPLIED']) AS \"relationshipType\""),
+    "procedures_keys": Entry("CALL db.propertyKeys() YIELD propertyKey AS k WHERE k STARTS WITH 'o' OR k ENDS WITH 'name' RETURN k", "SELECT unnest(['name', 'orderdate', 'orderkey', 'orderpriority', 'orderstatus']) AS k"),
+    "procedures_list": Entry("CALL dbms.procedures() YIELD name, mode RETURN name, mode", "SELECT unnest(['db.labels', 'db.propertyKeys', 'db.relationshipTypes', 'dbms.procedures']) AS name, 'READ' AS mode"),
+    "clocks": Entry(
+        "RETURN date.transaction() = date.statement() AS a, localtime.transaction() = localtime.statement() AS b, time.transaction() = time.statement() AS c, localdatetime.transaction() = localdatetime.statement() AS d, datetime.transaction() = datetime.statement() AS e, "
+        "duration.inDays(date.statement(), date.realtime()).days IN [0, 1] AS f, duration.inSeconds(localdatetime.statement(), localdatetime.realtime()).seconds < 3600 AS g, datetime.realtime().epochSeconds >= datetime.statement().epochSeconds AS h, localtime.realtime().hour IN range(0, 23) AS i, time.realtime().offset = time.statement().offset AS j",
+        "SELECT true AS a, true AS b, true AS c, true AS d, true AS e, true AS f, true AS g, true AS h, true AS i, true AS j",
+    ),
+    "rand_range": Entry("MATCH (p:Part) WITH p, rand() AS x RETURN min(x) >= 0 AND max(x) < 1 AS inside, count(DISTINCT x) > 1 AS several", "SELECT true AS inside, true AS several"),
+    "lower_and_properties": Entry(
+        "MATCH (g:Region)<-[r:IN_REGION]-(n:Nation) RETURN toLower(n.name) AS low, properties(g).name AS region, size(keys(properties(n))) AS size, keys(properties(r)) AS own",
+        "SELECT lower(n_name) AS low, r_name AS region, 3::BIGINT AS size, []::VARCHAR[] AS own FROM nation JOIN region ON n_regionkey = r_regionkey",
+    ),
+    "literals_and_names": Entry("MATCH (`odd name`:Region) WHERE `odd name`.regionkey = 0x1 + 0o0 RETURN `odd name`.regionkey + 0x1F AS h, 017 AS o, 'tab\\t\\u0041' AS t, $p[1] AS p, $m.k AS m", "SELECT 32::BIGINT AS h, 15::BIGINT AS o, 'tab' || chr(9) || 'A' AS t, 6::BIGINT AS p, 'v' AS m", {"p": [5, 6], "m": {"k": "v"}}),
+    "implicit_names": Entry("MATCH (r:Region) RETURN r.name, r.regionkey + 1", 'SELECT r_name AS "r.name", r_regionkey::BIGINT + 1 AS "r.regionkey + 1" FROM region'),
     "return_star": Entry("MATCH (r:Region) WITH r.name AS name, r.regionkey AS k RETURN *", "SELECT r_name AS name, r_regionkey::BIGINT AS k FROM region"),
     "user_events": Entry("MATCH (u:User)-[:DID]->(e:Event) WHERE e.value > 50 RETURN e.event_type AS t, count(DISTINCT u) AS users, count(e) AS events", "SELECT event_type AS t, count(DISTINCT user_id) AS users, count(*) AS events FROM events WHERE value > 50 GROUP BY 1"),
     "write_create_match": Entry(
@@ -231,8 +258,17 @@ ENTRIES: dict[str, Entry] = {
         "SELECT n_nationkey::BIGINT AS k, CASE WHEN n_regionkey <> 1 THEN n_regionkey::BIGINT END AS r FROM nation",
     ),
     "write_merge": Entry(
-        ["MATCH (s:Supplier) MERGE (b:Band {level: s.nationkey % 3}) ON CREATE SET b.made = true", "MATCH (n:Nation) MERGE (b:Band {level: n.nationkey % 5}) ON MATCH SET b.again = true", "MATCH (b:Band) RETURN b.level AS level, count(*) AS n"],
-        "SELECT DISTINCT level, 1::BIGINT AS n FROM (SELECT (s_nationkey % 3)::BIGINT AS level FROM supplier UNION SELECT (n_nationkey % 5)::BIGINT FROM nation)",
+        ["MATCH (s:Supplier) MERGE (b:Band {level: s.nationkey % 3}) ON CREATE SET b.made = true", "MATCH (n:Nation) MERGE (b:Band {level: n.nationkey % 5}) ON CREATE SET b.late = true ON MATCH SET b.again = true", "MATCH (b:Band) RETURN b.level AS level, b.made AS made, b.again AS again, b.late AS late, count(*) AS n"],
+        """SELECT level, CASE WHEN s THEN true END AS made, CASE WHEN n > CASE WHEN s THEN 0 ELSE 1 END THEN true END AS again, CASE WHEN NOT s THEN true END AS late, 1::BIGINT AS n
+        FROM (SELECT level, bool_or(k = 's') AS s, count(*) FILTER (k = 'n') AS n FROM (SELECT (s_nationkey % 3)::BIGINT AS level, 's' AS k FROM supplier UNION ALL SELECT (n_nationkey % 5)::BIGINT, 'n' FROM nation) GROUP BY 1)""",
+    ),
+    "write_delete_plain": Entry(
+        ["MATCH ()-[r:IN_REGION]->(g:Region {name: 'ASIA'}) DELETE r", "MATCH (g:Region {name: 'ASIA'}) DELETE g", "MATCH (g:Region) OPTIONAL MATCH (g)<-[r:IN_REGION]-() RETURN g.name AS name, count(r) AS n"],
+        "SELECT r_name AS name, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' GROUP BY 1",
+    ),
+    "write_set_map": Entry(
+        ["MATCH (r:Region) WHERE r.regionkey < 2 SET r = {title: r.name, code: r.regionkey + 100}", "MATCH (r:Region) WHERE r.regionkey > 2 SET r += {code: 7, name: null}", "MATCH (r:Region) RETURN r.name AS name, r.title AS title, r.code AS code, r.regionkey AS k"],
+        "SELECT CASE WHEN r_regionkey = 2 THEN r_name END AS name, CASE WHEN r_regionkey < 2 THEN r_name END AS title, CASE WHEN r_regionkey < 2 THEN r_regionkey::BIGINT + 100 WHEN r_regionkey > 2 THEN 7 END AS code, CASE WHEN r_regionkey >= 2 THEN r_regionkey::BIGINT END AS k FROM region",
     ),
 }
 

@@ -191,11 +191,23 @@ class Match:
         if any(p.props is not None for p in self.patterns[var]) or r.span is not None:
             return True
         for t in self.graph.rel_tables(r.types):
-            for e in ({"out": (end,), "in": (1 - end,), "both": (0, 1)}[r.direction]):
+            for e in self._ends(r, end):
                 if t.ends[e] is None or not self.labels[var] <= set(t.ends[e]):
                     return True
         return False
 
+    @staticmethod
+    def _ends(r: N, side: int) -> tuple[int, ...]:
+        """Which ends of relationships the node on this side (0: left) of the pattern can be."""
+        return {"out": (side,), "in": (1 - side,), "both": (0, 1)}[r.direction]
+
+    def _among(self, r: N, side: int, other: str) -> list | None:
+        """Node tables that the node on this side of the pattern can lie in; without any hop it is the one on the other side."""
+        found = self.graph.tables_at(r.types, self._ends(r, side))
+        if found is None or r.span is None or r.span[0] > 0:
+            return found
+        return [*found, *(t for t in self.graph.node_tables(self.labels.get(other, ())) if not any(t is x for x in found))]
+
     def _expand(self, a: N, r: N, b: N, path) -> None:
         flip = a.var not in self.env.vars
         if flip:  # go from the bound end
@@ -226,16 +238,16 @@ class Match:
             self._filter_props(r.var, r.props)
         self.rels.append((r, entity))
         if not into:
-            self._bind_target(b, r, end, 0 if flip else 1)
+            self._bind_target(a, b, r, end, 0 if flip else 1)
 
-    def _bind_target(self, b: N, r: N, end: Column, side: int) -> None:
+    def _bind_target(self, a: N, b: N, r: N, end: Column, side: int) -> None:
         if not self._need_node(b.var, r, side):
             prefix = fresh("n")
             labels = sorted(self.labels[b.var])
             self.df = self.df.withColumns({f"{prefix}id": end, f"{prefix}labels": F.array(*map(F.lit, labels)).cast("array<string>")})
             self.env.vars[b.var] = Entity("node", prefix, {})
             return
-        nodes, node = scan_nodes(self.graph, sorted(self.labels[b.var]), fresh("n"))
+        nodes, node = scan_nodes(self.graph, sorted(self.labels[b.var]), fresh("n"), self._among(r, side, a.var))
         self.env.vars[b.var] = node
         props = [p.props for p in self.patterns[b.var] if p.props is not None]
         own = [p for p in props if not any(x.kind == "var" for x in p.walk())]
@@ -248,61 +260,77 @@ class Match:
                 self._filter_props(b.var, p)
 
     def _variable(self, source: Entity, target: Entity | None, a: N, r: N, b: N, direction: str, flip: bool) -> None:
-        """Trails of low to high relationships: each hop joins the frontier with the relationships it has not used."""
+        """Trails of low to high relationships: each hop joins the frontier with the relationships it has not used.
+
+        Up to UNROLLED hops are one chain of joins: a trail that is long enough to be a result and may also go on does
+        both, as two rows, and rows that stay pass later joins unmatched. Longer ones are written after each hop."""
         low, high = r.span
         tag, rel_t = fresh("v"), self.graph.rel_type(r.types)
         if r.var in self.env.vars:
             raise semantic(f"`{r.var}` is bound already")
         rel_array, node_t = ty.list_of(rel_t), self.graph.node_type()
         kept = self.df.columns
+        at, used, going = (column(f"{tag}{x}") for x in ("at", "ids", "going"))
         walk = self.df.withColumns({f"{tag}rels": F.array().cast(ty.to_spark(rel_array)), f"{tag}at": source.id, f"{tag}ids": F.array().cast("array<bigint>")})
         named = r.var in self.in_path
         if named:
             walk = walk.withColumn(f"{tag}nodes", F.array().cast(ty.to_spark(ty.list_of(node_t))))
         mine = [f"{tag}{x}" for x in ("rels", "at", "ids", *(["nodes"] if named else []))]
-        found, hop, frontier = [], 0, walk.filter(source.id.isNotNull())
-        while True:
-            if hop >= low:
-                found.append(frontier)
-            if high is not None and hop >= high:
-                break
-            hop += 1
-            if hop > MAX_HOPS:
-                raise semantic(f"a pattern without an upper bound goes on for more than {MAX_HOPS} hops")
+        among = self.graph.tables_at(r.types, self._ends(r, 0 if flip else 1))
+
+        def hop(frontier: DataFrame, stays: bool) -> DataFrame:
+            """The frontier one relationship on; stays: with the rows as they were."""
             rels, entity = scan_rels(self.graph, r.types, direction, fresh("h"))
             if r.props is not None:
                 env, frame = self.env, self.df
                 self.env, self.df = self.env.bound(**{r.var: entity}), rels
                 self._filter_props(r.var, r.props)
                 rels, self.env, self.df = self.df, env, frame
-            step = frontier.join(rels, (column(f"{tag}at") == column(f"{entity.prefix}from")) & ~F.array_contains(column(f"{tag}ids"), entity.id))
             value = ty.converted(*entity.struct(), rel_t)
-            ids = F.concat(column(f"{tag}ids"), F.array(entity.id))
             chain = F.concat(F.array(value), column(f"{tag}rels")) if flip else F.concat(column(f"{tag}rels"), F.array(value))
-            new = {f"{tag}rels": chain, f"{tag}at": column(f"{entity.prefix}to"), f"{tag}ids": ids}
+            new = {f"{tag}rels": chain, f"{tag}at": column(f"{entity.prefix}to"), f"{tag}ids": F.concat(used, F.array(entity.id))}
             if named:
-                nodes, node = scan_nodes(self.graph, (), fresh("h"))
-                step = step.join(nodes, column(f"{entity.prefix}to") == node.id)
+                nodes, node = scan_nodes(self.graph, (), fresh("h"), among)
+                rels = rels.join(nodes, column(f"{entity.prefix}to") == node.id)
                 v = ty.converted(*node.struct(), node_t)
                 new[f"{tag}nodes"] = F.concat(F.array(v), column(f"{tag}nodes")) if flip else F.concat(column(f"{tag}nodes"), F.array(v))
-            frontier = step.select(*[column(c) for c in kept], *[new[m].alias(m) for m in mine])
-            if high is None or high > UNROLLED:
-                frontier = materialized(self.graph.spark, frontier)
+            on = (at == column(f"{entity.prefix}from")) & ~F.array_contains(used, entity.id)
+            if not stays:
+                return frontier.join(rels, on).select(*map(column, kept), *[new[m].alias(m) for m in mine])
+            newest = F.size(used) == hops - 1
+            both = frontier.withColumn(f"{tag}going", F.explode(F.when(newest, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+            step = both.join(rels, going & on, "left").filter(~going | entity.id.isNotNull())
+            return step.select(*map(column, kept), *[F.when(going, new[m]).otherwise(column(m)).alias(m) for m in mine])
+
+        frontier, hops = walk.filter(source.id.isNotNull()), 0
+        if high is not None and high <= UNROLLED:
+            while hops < high:
+                hops += 1
+                frontier = hop(frontier, hops > low)
+            self.df = frontier.filter(F.size(used) >= low)
+        else:
+            found = [frontier] if low == 0 else []
+            while high is None or hops < high:
+                hops += 1
+                if hops > MAX_HOPS:
+                    raise semantic(f"a pattern without an upper bound goes on for more than {MAX_HOPS} hops")
+                frontier = materialized(self.graph.spark, hop(frontier, False))
                 if frontier.isEmpty():
                     break
-        out = found[0] if found else walk.filter(F.lit(False))
-        for f in found[1:]:
-            out = out.unionByName(f)
-        self.df = out
+                if hops >= low:
+                    found.append(frontier)
+            out = found[0] if found else walk.filter(F.lit(False))
+            for f in found[1:]:
+                out = out.unionByName(f)
+            self.df = out
         self.env.vars[r.var] = Value(column(f"{tag}rels"), rel_array, f"{tag}rels")
         if named:
             self.env.vars[r.var].inner, self.env.vars[r.var].backwards = f"{tag}nodes", flip
-        end = column(f"{tag}at")
         self.rels.append((r, f"{tag}ids"))
         if target is not None:
-            self.df = self.df.filter(target.id == end)
+            self.df = self.df.filter(target.id == at)
         else:
-            self._bind_target(b, r, end, 0 if flip else 1)
+            self._bind_target(a, b, r, at, 0 if flip else 1)
 
     def _unique(self) -> None:
         """No relationship twice in one match; types that cannot meet need no comparison."""

@@ -16,9 +16,9 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def scan_nodes(graph, labels, prefix: str) -> tuple[DataFrame, Entity]:
-    """Nodes that have all the labels. Tables that cannot hold one are not read; Catalyst prunes columns that nothing asks for."""
-    tables = graph.node_tables(labels)
+def scan_nodes(graph, labels, prefix: str, among: list | None = None) -> tuple[DataFrame, Entity]:
+    """Nodes that have all the labels, of the tables among which they lie if that is known. Tables that cannot hold one are not read; Catalyst prunes columns that nothing asks for."""
+    tables = [t for t in graph.node_tables(labels) if among is None or any(t is x for x in among)]
     props: dict[str, ty.T] = {}
     for t in tables:
         for k, v in t.props.items():
@@ -68,6 +68,7 @@ def empty(graph, entity: Entity) -> DataFrame:
     return graph.spark.createDataFrame([], ", ".join(f"`{entity.prefix}{n}` {kinds[n]}" for n in names))
 
 
-def node_values(graph, name: str = "value") -> DataFrame:
-    df, entity = scan_nodes(graph, (), "v_")
-    return df.select(entity.struct()[0].alias(name))
+def node_values(graph, name: str = "value", among: list | None = None) -> DataFrame:
+    """Nodes as values of the graph's one node type, whichever tables they are read from."""
+    df, entity = scan_nodes(graph, (), "v_", among)
+    return df.select(ty.converted(*entity.struct(), graph.node_type()).alias(name))

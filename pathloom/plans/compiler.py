@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import types as ty
@@ -27,7 +27,9 @@ class State:
     df: DataFrame
     env: Env
     usage: Usage | None
+    #: In a subquery: the columns that tell the outer rows' values apart, and all their values.
     carry: tuple[str, ...] = ()
+    outer: DataFrame | None = None
 
     def keep(self, **changes) -> State:
         return replace(self, **changes)
@@ -129,7 +131,7 @@ def domain(state: State, names: list[str]) -> tuple[State, list[Column]]:
     df = state.df.select(*map(column, columns), *[c.alias(k) for c, k in zip(outer, keys, strict=True)])
     df = df.dropDuplicates(keys) if names else state.env.graph.spark.range(1).select()
     env = replace(state.env, vars={n: state.env.vars[n] for n in names})
-    return State(df, env, state.usage, tuple(keys)), outer
+    return State(df, env, state.usage, tuple(keys), df.select(*map(column, keys)) if names else None), outer
 
 
 def joined_back(df: DataFrame, outer: list[Column], inner: DataFrame, keys: tuple[str, ...], how: str) -> DataFrame:
@@ -140,19 +142,28 @@ def joined_back(df: DataFrame, outer: list[Column], inner: DataFrame, keys: tupl
 
 
 def run_inner(inside: State, query: N) -> State:
-    if query.kind != "single":
-        raise semantic("UNION inside EXISTS")
+    """The clauses of a subquery up to its RETURN, which counts where it can change which outer rows have any: by SKIP, LIMIT or an aggregation."""
     for clause in query.clauses:
         if clause.kind == "return":
+            if clause.skip is not None or clause.limit is not None or any(has_aggregate(e) for e, _ in clause.items):
+                inside = projected(inside, clause)
             break
         inside = applied(inside, clause)
     return inside
 
 
+def found_keys(inside: State, query: N) -> DataFrame:
+    """The keys of the outer values for which the subquery has rows (more than once where it has several)."""
+    out = None
+    for part in query.parts if query.kind == "union" else [query]:
+        df = run_inner(inside, part).df.select(*map(column, inside.carry))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
 def semi(state: State, e: N, how: str) -> State:
     inside, outer = domain(state, free_variables(e.query, state.env))
-    inside = run_inner(inside, e.query)
-    return state.keep(df=joined_back(state.df, outer, inside.df.select(*map(column, inside.carry)), inside.carry, how))
+    return state.keep(df=joined_back(state.df, outer, found_keys(inside, e.query), inside.carry, how))
 
 
 def with_subqueries(state: State, e: N) -> tuple[State, N]:
@@ -173,10 +184,9 @@ def subquery(state: State, e: N, name: str) -> State:
         return end_node(state, e, name, out)
     if e.kind == "exists":
         inside, outer = domain(state, free_variables(e.query, state.env))
-        inside = run_inner(inside, e.query)
-        found, value, t = inside.df.select(*map(column, inside.carry)).distinct().withColumn(out, F.lit(True)), F.coalesce(column(out), F.lit(False)), ty.BOOL
-        if not inside.carry:
-            found = inside.df.limit(1).agg((F.count(F.lit(1)) > 0).alias(out))
+        found = found_keys(inside, e.query)
+        found = found.distinct().withColumn(out, F.lit(True)) if inside.carry else found.limit(1).agg((F.count(F.lit(1)) > 0).alias(out))
+        value, t = F.coalesce(column(out), F.lit(False)), ty.BOOL
     else:
         query = N("single", clauses=[N("match", optional=False, parts=[e.part], where=e.where)])
         inside, outer = domain(state, free_variables([query, e.expr], state.env))
@@ -197,7 +207,9 @@ def end_node(state: State, e: N, name: str, out: str) -> State:
     c, t = compiled(e.args[0], state.env)
     if t.name != "relationship":
         raise semantic(f"{e.name}() needs a relationship")
-    nodes = node_values(state.env.graph, out)
+    own = state.env.vars.get(e.args[0].name) if e.args[0].kind == "var" else None
+    types = own.types if isinstance(own, Entity) else ()
+    nodes = node_values(state.env.graph, out, state.env.graph.tables_at(types, (0 if e.name.lower() == "startnode" else 1,)))
     joined = state.df.join(nodes, c["src" if e.name.lower() == "startnode" else "dst"] == column(out)["id"], "left")
     return state.keep(df=joined, env=state.env.bound(**{name: Value(column(out), state.env.graph.node_type(), out)}))
 
@@ -250,7 +262,8 @@ def is_aggregate(e: N) -> bool:
 
 
 def has_aggregate(e: N) -> bool:
-    return any(is_aggregate(x) for x in e.walk())
+    """Whether an expression aggregates; what a subquery does inside is its own."""
+    return is_aggregate(e) or e.kind != "exists" and any(has_aggregate(x) for x in e.children())
 
 
 def items_of(state: State, clause: N) -> list[tuple[N, str]]:
@@ -270,10 +283,15 @@ def projected(state: State, clause: N) -> State:
     grouped = any(has_aggregate(e) for e, _ in items)
     state, order = aggregated(state, items, clause) if grouped else plain(state, items, clause)
     df = state.df
-    for n, limit in ((clause.skip, False), (clause.limit, True)):
-        if n is not None:
-            value = whole_number(n, state.env)
-            df = df.limit(value) if limit else df.offset(value)
+    skip, limit = (None if n is None else whole_number(n, state.env) for n in (clause.skip, clause.limit))
+    if state.carry and not (skip is None and limit is None):  # of the rows of each outer value
+        place = fresh("nth")
+        within = Window.partitionBy(*map(column, state.carry)).orderBy(*(order or [F.lit(0)]))
+        df = df.withColumn(place, F.row_number().over(within)).filter(column(place) > (skip or 0))
+        df = df if limit is None else df.filter(column(place) <= (skip or 0) + limit)
+    else:
+        df = df if skip is None else df.offset(skip)
+        df = df if limit is None else df.limit(limit)
     columns = list(dict.fromkeys([c for v in state.env.vars.values() for c in v.columns()] + [*state.carry]))
     state = state.keep(df=df.select(*map(column, columns)))
     return where(state, clause.where)
@@ -377,16 +395,21 @@ def aggregated(state: State, items: list, clause: N):
 
     results = [(extract(e), name) for e, name in items if has_aggregate(e)]
     orders = [(extract(aliased(e, items)), d) for e, d in clause.order]
-    aggregates, values = [], {}
+    aggregates, outs, values = [], [], {}
     for x, hidden in calls.values():
         inside, args = all_with_subqueries(inside, x.args)
         out, arg = fresh("a"), fresh("x")
+        outs.append(out)
         c, t, argument = aggregate(x, args, inside.env, arg)
         if argument is not None:
             added[arg] = argument
         aggregates.append(c.alias(out))
         values[hidden] = Value(column(out), t, out)
     df = inside.df.withColumns(added) if added else inside.df
+    if state.outer is not None and not group:  # an aggregation without keys has a row for every outer value
+        hit = fresh("hit")
+        df = with_all_outer(df.withColumn(hit, F.lit(True)), state)
+        aggregates = [F.count(column(hit)).alias(out) if x.star else c for (x, _), c, out in zip(calls.values(), aggregates, outs, strict=True)]
     group += [c for c in state.carry if c not in group]
     firsts = [F.first(column(c)).alias(c) for c in dict.fromkeys(firsts) if c not in group]
     df = df.groupBy(*map(column, dict.fromkeys(group))).agg(*aggregates, *firsts) if group else df.agg(*aggregates)
@@ -404,6 +427,16 @@ def aggregated(state: State, items: list, clause: N):
     return state.keep(df=df, env=final), order
 
 
+def with_all_outer(df: DataFrame, state: State) -> DataFrame:
+    """The rows, and one of nulls for each outer value that has none."""
+    again = {k: fresh("k") for k in state.carry}
+    every = state.outer.select(*[column(k).alias(n) for k, n in again.items()])
+    on = F.lit(True)
+    for k, n in again.items():
+        on = on & column(n).eqNullSafe(column(k))
+    return every.join(df, on, "left").drop(*state.carry).withColumnsRenamed({n: k for k, n in again.items()})
+
+
 def all_with_subqueries(state: State, args: list[N]):
     out = []
     for a in args:

@@ -86,6 +86,13 @@ class PropertyGraph:
     def rel_tables(self, types) -> list[RelTable]:
         return [t for t in self.rels if not types or t.type in types]
 
+    def tables_at(self, types, ends: tuple[int, ...]) -> list[NodeTable] | None:
+        """The node tables that sources (0) or targets (1) of relationships of the types can lie in; None where their tables do not say."""
+        labels = [t.ends[e] for t in self.rel_tables(types) for e in ends]
+        if any(x is None for x in labels):
+            return None
+        return [t for t in self.nodes if t.labels is None or any(set(x) <= set(t.labels) for x in labels)]
+
     def node_type(self) -> ty.T:
         props: dict[str, ty.T] = {}
         for t in self.nodes:
