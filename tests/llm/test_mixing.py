@@ -4,6 +4,7 @@ from fractions import Fraction
 
 import pytest
 from pathloom.llm import mixing, queries
+from pyspark.sql import functions as F
 
 from .fixtures import TEXTS, documents, rows_of
 
@@ -65,3 +66,23 @@ def test_documents_of_the_mix(spark):
     texts = {t for _, t, _ in TEXTS}
     assert any(r.text in texts for r in out.collect())
     assert mixing.mix_documents(spark, documents(spark, [])).count() == 0
+
+
+def test_many_sources_and_targets(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('s', id % 700) AS source", "repeat('w ', cast(1 + (id * 37) % 90 AS int)) AS text")
+    got = mixing.mix_counts(spark, docs, block_words=4)
+    check(docs.collect(), got.collect(), 8)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000])
+def test_permutation_is_one_of_all_numbers(spark, n):
+    at = mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5), F.lit(2))
+    got = [r.at for r in spark.range(n).select(at.alias("at")).collect()]
+    assert sorted(got) == list(range(n)) and (n < 64 or sum(abs(a - i) for i, a in enumerate(got)) > n * n / 5)
+
+
+def test_permutation_of_huge_ranges(spark):
+    n = (1 << 62) - 57
+    at = mixing.permuted(F.lit(n) - 1 - F.col("id"), F.lit(n), F.lit(5))
+    got = [r.at for r in spark.range(500).select(at.alias("at")).collect()]
+    assert len(set(got)) == 500 and all(0 <= x < n for x in got)
