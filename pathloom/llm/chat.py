@@ -8,21 +8,25 @@ Lines are sorted over the cluster and cut into segments of ``SEGMENT`` lines of
 are one segment. For longer ones each segment gives a states-by-states matrix of best scores; these are chained for
 each conversation, which fixes the state before and at the end of every segment, and then the segments are decoded
 independently, with the same result as one pass over the whole conversation. No task holds more than a segment's
-lines, however long a conversation is.
+lines, however long a conversation is; only a turn's own text is put together from several segments.
+
+A turn is rendered as ``<|role|>``, its lines without the speaker marker, and ``<|end|>``, each on a line of its own; the
+texts of a conversation's turns, one after another, are its canonical rendering.
 
 Defined cases: a null text is one empty line; null and unknown roles are not learned from; a null conversation id is
-a conversation of its own; rows repeated or with the same turn follow one another; without any labelled rows all
+a conversation of its own; rows repeated or with the same turn follow one another; a line may be of any length; without any labelled rows all
 probabilities are equal and the first role wins ties; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -61,17 +65,15 @@ def transcript_lines(conversations: DataFrame, seed: int = 7, dropped: int = 3)
 def learned(spark: SparkSession, lines: DataFrame, smoothing: float = 0.5) -> dict[str, np.ndarray]:
     """Log probabilities from labelled lines: start, move, marker, length and ending; counts only come to the driver."""
     known = lines.filter(F.col("role").isin(*ROLES))
-    size = F.length("line")
-    last = F.substring(F.rtrim("line"), -1, 1)
-    ending = F.when(F.length(F.trim("line")) == 0, 0).otherwise(1 + F.when(F.instr(F.lit(ENDINGS), last) > 0, F.instr(F.lit(ENDINGS), last) - 1).otherwise(-1))
-    length = F.least(F.lit(LENGTHS - 1), F.length(F.conv(size.cast("string"), 10, 2)))
-    marker = F.lower(F.regexp_extract("line", f"^(?i:{MARKER.pattern})", 1))
-    marked: Column = F.lit(0)
-    for m, c in CLASS.items():
-        marked = F.when(marker == m, c).otherwise(marked)
-    role = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")) - 1
-    state = (2 * role + (F.col("at") > 0).cast("int")).cast("int")
-    seen = known.select(state.alias("s"), marked.alias("m"), F.when(size == 0, 0).otherwise(length).alias("l"), ending.alias("e")).groupBy("s", "m", "l", "e").agg(F.count(F.lit(1)).alias("n")).collect()
+    names = ["s", "m", "l", "e", "n"]
+
+    def observed(batches):  # by the same function that sees the lines of transcripts
+        for batch in batches:
+            seen = Counter((2 * ROLES.index(role) + (at > 0), *observation(line)) for role, at, line in zip(*(batch[c].to_pylist() for c in ("role", "at", "line")), strict=True))
+            rows = [(*k, n) for k, n in seen.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=names)
+
+    seen = known.select("role", "at", "line").mapInArrow(observed, ", ".join(f"{n} long" for n in names)).groupBy(*names[:4]).agg(F.sum("n").alias("n")).collect()
     turns = known.groupBy("conv_id", "turn").agg(F.max_by("role", F.struct("row", "at")).alias("role"), F.max("at").alias("at"))
     follows = turns.alias("a").join(turns.alias("b"), F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.turn") + 1 == F.col("b.turn"))).groupBy(F.col("a.role").alias("x"), F.col("b.role").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()
     first = turns.groupBy("conv_id").agg(F.min_by("role", "turn").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -179,8 +181,8 @@ def segments(lines: DataFrame) -> DataFrame:
     return lines.select(*order, "line").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cut, "conv_id long, seg long, lines array<string>")
 
 
-def recovered_lines(spark: SparkSession, lines: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """Every line with its role: conv_id, line_no, role, starts_turn, piece. The pieces of a conversation, in order, are its canonical rendering (with a last end mark to be added)."""
+def recovered_parts(spark: SparkSession, lines: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+    """What each segment holds of turns: conv_id, seg, nth (part of the segment), started (turns started in the segment so far), role, lines, and long, whether the conversation has other segments."""
     cut = Scratch(spark, "chat").write(segments(lines), "segments")
     long_ones = cut.groupBy(F.col("conv_id").alias("long_id")).agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("first")).filter("n > 1")
     pieces = cut.join(long_ones, F.col("conv_id").eqNullSafe(F.col("long_id"))).select("conv_id", "seg", "lines", (F.col("seg") == F.col("first")).alias("first"))
@@ -193,29 +195,46 @@ def recovered_lines(spark: SparkSession, lines: DataFrame, model: dict[str, np.n
 
     def chain(table: pa.Table) -> pa.Table:
         table = table.sort_by("seg")
-        n, m = table["n"].to_pylist(), table["m"].to_pylist()
-        ends = chained(model["start"], [np.array(x).reshape(-1, STATES) for x in m])
-        return pa.table({"conv_id": table["conv_id"], "seg": table["seg"], "base": pa.array(np.cumsum([0, *n[:-1]]).astype(np.int64)), "before": pa.array([None, *ends[:-1]], pa.int32()), "end": pa.array(ends, pa.int32())})
+        ends = chained(model["start"], [np.array(x).reshape(-1, STATES) for x in table["m"].to_pylist()])
+        return pa.table({"conv_id": table["conv_id"], "seg": table["seg"], "before": pa.array([None, *ends[:-1]], pa.int32()), "end": pa.array(ends, pa.int32())})
 
-    borders = pieces.mapInArrow(scores, "conv_id long, seg long, n long, m array<double>").groupBy("conv_id").applyInArrow(chain, "conv_id long, seg long, base long, before int, end int").drop("conv_id")
-    schema = pa.schema([("conv_id", pa.int64()), ("line_no", pa.int64()), ("role", pa.string()), ("starts_turn", pa.bool_()), ("piece", pa.string())])
+    borders = pieces.mapInArrow(scores, "conv_id long, seg long, n long, m array<double>").groupBy("conv_id").applyInArrow(chain, "conv_id long, seg long, before int, end int").drop("conv_id")
+    schema = pa.schema([("conv_id", pa.int64()), ("seg", pa.int64()), ("nth", pa.int64()), ("started", pa.int64()), ("role", pa.string()), ("lines", pa.list_(pa.string())), ("long", pa.bool_())])
 
     def decode(batches):
         for batch in batches:
             out = []
-            for conv, text, base, before, end in zip(*(batch[c].to_pylist() for c in ("conv_id", "lines", "base", "before", "end")), strict=True):
-                for i, (line, s) in enumerate(zip(text, best_states(model, emissions(model, text), before, end).tolist(), strict=True)):
-                    at, role, starts = (base or 0) + i, ROLES[s // 2], s % 2 == 0
-                    body = line[found.end() :] if starts and (found := MARKER.match(line)) else line
-                    out.append((conv, at, role, starts, f"{'<|end|>\n' if at else ''}<|{role}|>\n{body}\n" if starts else f"{body}\n"))
+            for conv, seg, text, before, end in zip(*(batch[c].to_pylist() for c in ("conv_id", "seg", "lines", "before", "end")), strict=True):
+                started, nth = 0, -1
+                for line, s in zip(text, best_states(model, emissions(model, text), before, end).tolist(), strict=True):
+                    starts = s % 2 == 0
+                    if starts or nth < 0:
+                        started, nth = started + starts, nth + 1
+                        out.append((conv, seg, nth, started, ROLES[s // 2], [], end is not None))
+                    out[-1][5].append(line[found.end() :] if starts and (found := MARKER.match(line)) else line)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return cut.join(borders, "seg", "left").select("conv_id", "lines", "base", "before", "end").mapInArrow(decode, "conv_id long, line_no long, role string, starts_turn boolean, piece string")
+    return cut.join(borders, "seg", "left").select("conv_id", "seg", "lines", "before", "end").mapInArrow(decode, "conv_id long, seg long, nth long, started long, role string, lines array<string>, long boolean")
+
+
+def recovered_turns(spark: SparkSession, lines: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+    """Every turn in its canonical form: conv_id, turn_no (from 0), role, n_lines, text."""
+    parts = recovered_parts(spark, lines, model)
+    number = lambda base: F.greatest(base + F.col("started") - 1, F.lit(0))
+    short = parts.filter("not long").select("conv_id", number(F.lit(0)).alias("turn_no"), "role", "lines")
+    parts = Scratch(spark, "chat-long").write(parts.filter("long"), "parts")
+    earlier = Window.partitionBy("conv_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.groupBy("conv_id", "seg").agg(F.max("started").alias("n")).select("seg", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    of = F.array_sort(F.collect_list(F.struct("seg", "nth", "role", "lines")))
+    whole = parts.join(base, "seg").groupBy("conv_id", number(F.col("base")).alias("turn_no")).agg(of.alias("p"))
+    whole = whole.select("conv_id", "turn_no", F.col("p.role")[0].alias("role"), F.flatten("p.lines").alias("lines"))
+    text = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.array_join("lines", "\n"), F.lit("\n<|end|>\n"))
+    return short.unionByName(whole).select("conv_id", "turn_no", "role", F.size("lines").cast("long").alias("n_lines"), text.alias("text"))
 
 
 def parsed_conversations(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     """Learns from the conversations outside every fifth (by hash) and recovers the turns of all raw transcripts."""
     lines = Scratch(spark, "chat-lines").write(transcript_lines(conversations), "lines")
     model = learned(spark, lines.filter(F.pmod(F.xxhash64("conv_id", F.lit(3)), F.lit(5)) > 0))
-    return recovered_lines(spark, lines, model)
+    return recovered_turns(spark, lines, model)
