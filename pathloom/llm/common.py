@@ -83,6 +83,17 @@ def tidy(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the system; Spark keeps workers for other jobs."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pack(values: np.ndarray) -> bytes:
     """An array of whole numbers as bytes: its bytes by place, all first ones, then all second ones, and so on, compressed."""
     import zstandard

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, tidy
+from .common import Scratch, release, tidy
 from .tokens import encoder
 
 
@@ -210,6 +210,7 @@ def pieces_of(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFra
                     out.append((key, i, at, len(part), zlib.crc32(part.tobytes())))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")

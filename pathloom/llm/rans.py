@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, tidy
+from .common import Scratch, release, tidy
 from .tokens import encoder
 
 MAGIC = b"RANS0001"
@@ -156,6 +156,7 @@ def staged_tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             yield block()
         if found := np.flatnonzero(histogram).tolist():
             yield row(part=part, n=0, symbols=found, counts=histogram[found].tolist())
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from .common import Scratch, pack, tidy, unpack
+from .common import Scratch, pack, release, tidy, unpack
 
 LENGTH, GRAM, WINDOW = 400, 32, 128
 CHUNK_BYTES, BATCH_BYTES = 8 << 20, 1 << 18
@@ -186,6 +186,7 @@ def chunks_of(docs: DataFrame, text: str, length: int, gram: int, window: int) -
                 rows.append(others.slice(from_))
         if texts:
             yield chunk()
+        release()
 
     at = docs.columns.index(text)
     return docs.mapInArrow(read, "chunk long, rows binary, sizes array<long>, text binary, anchors binary, n_bytes long, need long")
@@ -507,24 +508,33 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, text: str = "text",
 
 def deduplicated(spark: SparkSession, docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """Every row with its other columns, and n_bytes, spans (start and end of each removed run, in bytes) and kept (the remaining bytes), which replace columns of these names."""
-    added = pa.schema([("n_bytes", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
-    docs = docs.drop(*(c for c in docs.columns if c in added.names and c != text))
+    docs = docs.drop(*(c for c in ("n_bytes", "spans", "kept") if c != text))
+    types = {"n_bytes": (pa.int64(), S.LongType()), "spans": (pa.list_(pa.list_(pa.int64())), S.ArrayType(S.ArrayType(S.LongType()))), "kept": (pa.binary(), S.BinaryType())}
+
+    def finished(rows: pa.Table, sizes, spans, kept) -> pa.Table:
+        for (name, (kind, _)), values in zip(types.items(), (sizes, spans, kept), strict=True):
+            rows = rows.append_column(name, pa.array(values, kind))
+        return rows
+
+    return cut_documents(spark, docs, text, finished, {k: t for k, (_, t) in types.items()}, **options)
+
+
+def cut_documents(spark: SparkSession, docs: DataFrame, text: str, finished: Callable, added: dict[str, S.DataType], **options) -> DataFrame:
+    """Rows that finished(other columns, sizes, spans, kept bytes) makes of each chunk: the columns but the text, and those added."""
     chunks, found = repeated_passages(spark, docs, text, **options)
     schema = S.StructType([f for f in docs.schema.fields if f.name != text])
-    for name, kind in (("n_bytes", S.LongType()), ("spans", S.ArrayType(S.ArrayType(S.LongType()))), ("kept", S.BinaryType())):
+    for name, kind in added.items():
         schema = schema.add(name, kind)
 
     def cut(batches):
         for batch in batches:
             for rows, sizes, body, data in zip(*(batch[c].to_pylist() for c in ("rows", "sizes", "text", "data")), strict=True):
                 body, (a, b) = thaw(body), thaw(data)
-                rows = pa.ipc.open_stream(rows).read_all()
                 ends = np.cumsum(sizes)
                 doc = np.searchsorted(ends, a, side="right")
-                # runs of neighbouring documents may touch in the chunk's bytes
-                cuts = [(i, int(s), int(e)) for i, s, e in zip(doc, a, b, strict=True)]
                 of = [[] for _ in sizes]
-                for i, s, e in cuts:
+                # runs of neighbouring documents may touch in the chunk's bytes
+                for i, s, e in [(i, int(s), int(e)) for i, s, e in zip(doc, a, b, strict=True)]:
                     while s < e:
                         stop = min(e, int(ends[i]))
                         base = int(ends[i]) - sizes[i]
@@ -539,8 +549,8 @@ def deduplicated(spark: SparkSession, docs: DataFrame, text: str = "text", **opt
                         parts.append(body[at : base + s])
                         at = base + e
                     kept.append(b"".join([*parts, body[at : int(ends[i])]]))
-                columns = [*rows.columns, pa.array(sizes, pa.int64()), pa.array(of, added.field("spans").type), pa.array(kept, pa.binary())]
-                yield from pa.table(columns, names=[*rows.column_names, *added.names]).to_batches()
+                yield from finished(pa.ipc.open_stream(rows).read_all(), sizes, of, kept).to_batches()
+        release()
 
     both = chunks.select("chunk", "rows", "sizes", "text").join(found.select("chunk", "data"), "chunk")
     return both.select("rows", "sizes", "text", "data").mapInArrow(cut, schema)
@@ -548,19 +558,15 @@ def deduplicated(spark: SparkSession, docs: DataFrame, text: str = "text", **opt
 
 def without_passages(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The documents without repeated passages, other columns as they were; a character that loses a byte goes, n_chars follows the text, and documents that keep no word go."""
-    text = "text"
     names = [f"c{i}" for i in range(len(docs.columns))]  # columns may have any names
-    renamed = docs.toDF(*names)
-    body = names[docs.columns.index(text)]
-    cleaned = deduplicated(spark, renamed.withColumn(body, F.col(body).cast("string")), body, **options)
-    schema = S.StructType([*(f for f in cleaned.schema.fields if f.name not in ("n_bytes", "spans", "kept")), S.StructField("kept", S.StringType())])
+    text = names[docs.columns.index("text")]
 
-    def decode(batches):
-        for batch in batches:
-            texts = [k.decode(errors="ignore") for k in batch["kept"].to_pylist()]
-            keep = [bool(t.encode().split()) for t in texts]
-            others = [c for c in batch.schema.names if c not in ("n_bytes", "spans", "kept")]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in others), pa.array(texts, pa.string())], names=[*others, "kept"]).filter(pa.array(keep, pa.bool_()))
+    def finished(rows: pa.Table, sizes, spans, kept) -> pa.Table:
+        texts = [k.decode(errors="ignore") for k in kept]
+        keep = [bool(t.encode().split()) for t in texts]
+        return rows.append_column("kept", pa.array(texts, pa.string())).filter(pa.array(keep, pa.bool_()))
 
-    changed = {text: F.col("kept"), "n_chars": F.length("kept")}
-    return cleaned.mapInArrow(decode, schema).select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    renamed = docs.toDF(*names)
+    cleaned = cut_documents(spark, renamed.withColumn(text, F.col(text).cast("string")), text, finished, {"kept": S.StringType()}, **options)
+    changed = {"text": F.col("kept"), "n_chars": F.length("kept")}
+    return cleaned.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

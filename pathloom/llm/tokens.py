@@ -34,7 +34,7 @@ PIECES = {
     "words": re.compile(rf"{SHORT}|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+"),
 }
 #: Bytes that a memory of pieces may hold, by a rough count of its strings and ids, and the longest piece it takes.
-KNOWN_BYTES, MAX_PIECE = 128 << 20, 64
+KNOWN_BYTES, MAX_PIECE = 80 << 20, 64
 _encoders: dict[str, PieceEncoder] = {}
 
 
