@@ -48,7 +48,7 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(spark, table(spark, sf_dir, "embeddings"))
+    return topk.top_k(spark, table(spark, sf_dir, "embeddings")).drop("read")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,18 +49,43 @@ def test_bounds_hold_and_tighten():
     vectors, queries = np.floor(256 * r.normal(size=(300, 8))), np.floor(99 * r.normal(size=(5, 8)))
     queries[0, 2] = 0
     lists, exact, width = topk.Lists(np.arange(300), np.arange(300), vectors), vectors @ queries.T, np.inf
+    parts = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1).T
     for depth in (0.01, 0.1, 0.5, 1.0):
-        lower, upper = lists.bounds(queries, depth)
+        lower, upper = (lists.bounds(parts, depth, x) for x in ("worst", "last"))
         assert (lower <= exact).all() and (exact <= upper).all() and (upper - lower).sum() <= width
         width = (upper - lower).sum()
     assert width == 0
 
 
+def test_unread_entries_are_not_looked_at():
+    r = np.random.default_rng(5)
+    vectors, query = np.floor(256 * r.normal(size=(200, 3))), np.array([[9.0, -4.0, 7.0]])
+    lists = topk.Lists(np.arange(200), np.arange(200), vectors)
+    parts = np.concatenate([np.maximum(query, 0), np.minimum(query, 0)], axis=1).T
+    before = lists.bounds(parts, 0.25, "last")
+    unread = [lists.place[:, 0] < 150, lists.place[:, 1] >= 50, lists.place[:, 2] < 150]
+    for d, u in enumerate(unread):
+        lists.vectors[u, d] = -123456
+    assert (lists.bounds(parts, 0.25, "last") == before).all()
+
+
 def test_reading_stops_early():
     r = np.random.default_rng(4)
     vectors = np.floor(256 * r.normal(size=(4000, 16)))
     vectors[7] = vectors[9] = 900
     lists = topk.Lists(np.arange(4000), np.arange(4000), vectors)
-    left = lists.contenders(np.full((1, 16), 50.0), 5, np.full(1, -np.inf))[0]
     scores = vectors @ np.full(16, 50.0)
-    assert set(np.argsort(-scores)[:5]) <= set(left.tolist()) and len(left) < 400
+    best = np.argsort(-scores)[:5]
+    (left,), (depth,) = lists.contenders(np.full((1, 16), 50.0), 5, np.full(1, scores[best[-1]]), 0)
+    assert set(best) <= set(left.tolist()) and len(left) <= topk.FEW * 5 and topk.DEPTHS[depth] < 1
+
+
+def test_share_of_the_lists_that_is_read(spark):
+    """Independent components: the stop rule fires before the end; a few strong ones: long before."""
+    r = np.random.default_rng(6)
+    for size, most in ((32, 0.97), (4, 0.6)):
+        rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(3000, size)))]
+        got = topk.top_k(spark, spark.createDataFrame([(i, v, 1, "x") for i, v in rows], SCHEMA), every=300)
+        rows = [(i, np.array(v, np.float32).astype(float).tolist()) for i, v in rows]
+        assert found(got) == brute(rows, every=300)
+        assert np.mean([x.read for x in got.collect()]) < most
