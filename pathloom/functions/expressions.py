@@ -169,6 +169,8 @@ def equal(a: Column, ta: T, b: Column, tb: T) -> Column:
         return F.lit(None).cast("boolean")
     if ta in ty.NUMBERS and tb in ty.NUMBERS:
         return numbers_equal(a, ta, b, tb)
+    if ANY in (ta, tb):
+        return ty.converted(a, ta, ANY) == ty.converted(b, tb, ANY)
     if ta.name == tb.name == "list":
         pairs = F.transform(F.sequence(F.lit(0), F.size(a) - 1), lambda i: equal(F.get(a, i), ta.elem, F.get(b, i), tb.elem))
         deep = F.when(F.exists(pairs, lambda x: F.coalesce(~x, F.lit(False))), False).when(F.exists(pairs, lambda x: x.isNull()), F.lit(None).cast("boolean")).otherwise(True)

@@ -333,47 +333,49 @@ def special(name: str, e: N, env: Env) -> Typed:
     if name.endswith(".truncate"):
         to, unit = TEMPORAL_NAMES[name.partition(".")[0]], constant(e.args[0], env)
         c, t = compiled(e.args[1], env)
-        if len(e.args) == 3:
-            raise semantic("truncate with fields on columns")
-        return tm.truncated(unit, c, t, to), to
+        if t == NULL:
+            return null(to)
+        if t not in TEMPORAL_NAMES.values():
+            raise wrong(e.name, t)
+        return tm.truncated(unit, c, t, to, fields_of(e.args[2], env) if len(e.args) == 3 else None), to
     base = name.partition(".")[0]
-    if base in TEMPORAL_NAMES and len(e.args) == 1 and "." not in name:
-        c, t = compiled(e.args[0], env)
-        return from_column(TEMPORAL_NAMES[base], c, t), TEMPORAL_NAMES[base]
+    if len(e.args) == 1 and "." not in name:
+        to = ty.DURATION if name == "duration" else TEMPORAL_NAMES[base]
+        if e.args[0].kind == "map":
+            fields = fields_of(e.args[0], env)
+            if any(t == NULL for _, t in fields.values()):
+                return null(to)
+            return (tm.duration_column({k: c for k, (c, _) in fields.items()}) if to == ty.DURATION else tm.built_column(to, fields)), to
+        return from_column(to, *compiled(e.args[0], env)), to
     if name in ("datetime.fromepoch", "datetime.fromepochmillis"):
-        a = compiled(e.args[0], env)[0]
-        seconds = a if name == "datetime.fromepoch" else F.floor(a / 1000)
-        nanos = compiled(e.args[1], env)[0] if name == "datetime.fromepoch" else F.pmod(a, F.lit(1000)) * 1_000_000
-        ts = F.timestamp_add("SECOND", seconds.cast("int"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
-        return F.struct(ts.alias("ts"), F.lit(0).cast("long").alias("offset"), F.lit(None).cast("string").alias("zone"), nanos.cast("long").alias("nanos")), ty.DATETIME
+        a, zero = compiled(e.args[0], env)[0].cast("long"), F.lit(0).cast("long")
+        if name == "datetime.fromepoch":
+            return tm.epoch_column(a, compiled(e.args[1], env)[0].cast("long") if len(e.args) > 1 else zero), ty.DATETIME
+        return tm.epoch_column(F.floor(a / 1000), F.pmod(a, F.lit(1000)) * 1_000_000), ty.DATETIME
     raise semantic(f"{e.name}() on these arguments")
 
 
+def fields_of(e: N, env: Env) -> dict[str, Typed]:
+    """The fields of a map literal as columns."""
+    if e.kind != "map":
+        raise semantic("fields are given by a map literal")
+    return {k: compiled(v, env) for k, v in e.items.items()}
+
+
 def from_column(to: T, c: Column, t: T) -> Column:
     """A temporal value of a column: of a text in ISO form, or a selection from another temporal value."""
     if t == NULL:
         return null(to)[0]
     if t == to:
         return c
-    if to == ty.DATE:
-        if t == STRING:
-            return c.cast("date")
-        if t in (ty.LOCALDATETIME, ty.DATETIME):
-            return (c["ts"] if t == ty.DATETIME else c).cast("date")
-    if to == ty.LOCALDATETIME:
-        if t in (STRING, ty.DATE):
-            return c.cast("timestamp_ntz")
-        if t == ty.DATETIME:
-            return c["ts"]
-    if to in (ty.LOCALTIME, ty.TIME) and t in (ty.LOCALTIME, ty.TIME, ty.LOCALDATETIME, ty.DATETIME):
-        parts = [tm.nanos_in_day(c, t).alias("nanos")]
-        if to == ty.TIME:
-            parts.append((c["offset"] if t in (ty.TIME, ty.DATETIME) else F.lit(0).cast("long")).alias("offset"))
-        return F.when(c.isNotNull(), F.struct(*parts))
-    if to == ty.DATETIME and t in (ty.DATE, ty.LOCALDATETIME, STRING):
-        ts = c.cast("timestamp_ntz")
-        return F.when(c.isNotNull(), F.struct(ts.alias("ts"), F.lit(0).cast("long").alias("offset"), F.lit(None).cast("string").alias("zone"), (F.date_format(ts, "SSSSSS").cast("long") * 1000).alias("nanos")))
-    raise semantic(f"{to}() of {t} columns")
+    if t == STRING:
+        return tm.duration_text_column(c) if to == ty.DURATION else tm.text_column(to, c)
+    if t not in TEMPORAL_NAMES.values() or to == ty.DURATION:
+        raise semantic(f"{to}() of {t} columns")
+    day, nanos, offset, zone = tm.parts_columns(c, t)
+    if day is None and to not in (ty.LOCALTIME, ty.TIME):
+        raise semantic(f"{to}() of {t} columns")
+    return F.when(c.isNotNull(), tm.assembled(to, day, nanos, offset, zone))
 
 
 __all__ = ["arity", "call", "clock_value"]

@@ -386,31 +386,235 @@ def duration_component(c: Column, key: str) -> Column | None:
     }.get(key)
 
 
-def truncated(unit: str, c: Column, t: ty.T, to: ty.T) -> Column:
-    """The start of the unit that a date or date-time lies in."""
-    if t not in (ty.DATE, ty.LOCALDATETIME, ty.DATETIME) or to not in (ty.DATE, ty.LOCALDATETIME):
-        raise semantic(f"cannot truncate {t} to {to} on columns")
-    ts = (c["ts"] if t == ty.DATETIME else c).cast("timestamp_ntz")
-    unit = unit.lower()
-    years = {"decade": 10, "century": 100, "millennium": 1000}.get(unit)
-    if years:
-        start = F.make_date((F.floor(F.year(ts) / years) * years).cast("int"), F.lit(1), F.lit(1)).cast("timestamp_ntz")
-    elif unit == "weekyear":
-        fourth = F.make_date(F.extract(F.lit("YEAROFWEEK"), ts).cast("int"), F.lit(1), F.lit(4))
-        start = F.date_trunc("week", fourth.cast("timestamp_ntz")).cast("timestamp_ntz")
-    elif unit in ("year", "quarter", "month", "week", "day", "hour", "minute", "second", "millisecond", "microsecond"):
-        start = F.date_trunc(unit, ts).cast("timestamp_ntz")
+def ranged(c: Column, least: int, most: int, what: str) -> Column:
+    return F.when(c.between(least, most), c).otherwise(F.raise_error(F.concat(F.lit(f"not a {what}: "), c.cast("string"))))
+
+
+def date_columns(fields: dict[str, Column]) -> Column:
+    """A date from columns of its fields, over the field date if it is there."""
+    base = fields.get("date")
+    get = lambda name, of, default: fields.get(name, of(base) if base is not None else F.lit(default)).cast("int")
+    if "week" in fields or "dayOfWeek" in fields:
+        year = get("year", lambda d: F.extract(F.lit("YEAROFWEEK"), d), None)
+        monday = F.date_trunc("week", F.make_date(year, F.lit(1), F.lit(4)).cast("timestamp_ntz")).cast("date")
+        week, day = ranged(get("week", F.weekofyear, 1), 1, 53, "week"), ranged(get("dayOfWeek", lambda d: F.weekday(d) + 1, 1), 1, 7, "weekday")
+        found = F.date_add(monday, (week - 1) * 7 + day - 1)
+        return F.when(F.extract(F.lit("YEAROFWEEK"), found) == year, found).when(found.isNotNull(), F.raise_error(F.lit("not a date: its year has no such week")).cast("date"))
+    if "year" not in fields and base is None:
+        raise failed("a date needs a year")
+    year = get("year", F.year, None)
+    if "ordinalDay" in fields:
+        return F.date_add(F.make_date(year, F.lit(1), F.lit(1)), ranged(fields["ordinalDay"].cast("int"), 1, 366, "day of a year") - 1)
+    if "quarter" in fields or "dayOfQuarter" in fields:
+        quarter = get("quarter", F.quarter, 1)
+        if "dayOfQuarter" in fields or base is None:
+            day = ranged(fields["dayOfQuarter"].cast("int"), 1, 92, "day of a quarter") if "dayOfQuarter" in fields else F.lit(1)
+            return F.date_add(F.make_date(year, 3 * quarter - 2, F.lit(1)), day - 1)
+        return F.make_date(year, 3 * quarter - 2 + (F.month(base) - 1) % 3, F.day(base))
+    return F.make_date(year, get("month", F.month, 1), get("day", F.day, 1))
+
+
+def nanos_columns(fields: dict[str, Column]) -> Column:
+    """Nanoseconds of a day from columns of its fields, over the field time (nanoseconds) if it is there."""
+    base, long = fields.get("time"), lambda c: c.cast("long")
+    parts = {"hour": (3600, 24), "minute": (60, 60), "second": (1, 60)}
+    total = F.lit(0).cast("long")
+    for name, (size, most) in parts.items():
+        own = F.floor(base / (size * NANOS)) % most if base is not None else F.lit(0)
+        total = total + long(ranged(long(fields[name]), 0, most - 1, name) if name in fields else own) * size
+    fine = {"millisecond": 1_000_000, "microsecond": 1000, "nanosecond": 1}
+    if base is not None and not any(k in fields for k in fine):
+        return total * NANOS + base % NANOS
+    return total * NANOS + sum((long(fields[k]) * n for k, n in fine.items() if k in fields), F.lit(0).cast("long"))
+
+
+def at(day: Column, nanos: Column) -> Column:
+    """Date and nanoseconds of the day as a date-time, to the microsecond."""
+    seconds = F.timestamp_add("SECOND", F.floor(nanos / NANOS).cast("int"), day.cast("timestamp_ntz"))
+    return F.timestamp_add("MICROSECOND", F.floor(nanos % NANOS / 1000).cast("int"), seconds)
+
+
+def offset_column(text: Column) -> Column:
+    """Seconds of an offset like +02:00; null where the text is none."""
+    digits = F.rpad(F.regexp_replace(F.substring(text, 2, 8), ":", ""), 6, "0")
+    part = lambda i: F.substring(digits, i, 2).try_cast("long")
+    size = part(1) * 3600 + part(3) * 60 + part(5)
+    return F.when(text == "Z", F.lit(0).cast("long")).when(F.rlike(text, F.lit(r"^[+-]\d\d(:?\d\d)?(:?\d\d)?$")), F.when(F.startswith(text, F.lit("-")), -size).otherwise(size))
+
+
+def zone_column(zone: Column, local: Column) -> Column:
+    """Seconds that a zone, by name or offset, is ahead at a local time."""
+    named = F.timestamp_diff("SECOND", F.convert_timezone(F.when(offset_column(zone).isNull(), zone), F.lit("UTC"), local), local)
+    return F.coalesce(offset_column(zone), named)
+
+
+def assembled(to: ty.T, day: Column | None, nanos: Column, offset: Column | None = None, zone: Column | None = None) -> Column:
+    """A value of the type from its parts; an offset that is not given is that of the zone, or 0. Null where a part is."""
+    long, zero = lambda c: c.cast("long"), F.lit(0).cast("long")
+    if to == ty.DATE:
+        return day
+    if to == ty.LOCALTIME:
+        return F.when(nanos.isNotNull(), F.struct(long(nanos).alias("nanos")))
+    if to == ty.TIME:
+        own = F.coalesce(*([offset] if offset is not None else []), *([zone_column(zone, F.lit("1970-01-01").cast("timestamp_ntz"))] if zone is not None else []), zero)
+        return F.when(nanos.isNotNull(), F.struct(long(nanos).alias("nanos"), long(own).alias("offset")))
+    if day is None:
+        raise failed(f"a {to} needs a date")
+    local = at(day, nanos)
+    if to == ty.LOCALDATETIME:
+        return local
+    own = F.coalesce(*([offset] if offset is not None else []), *([zone_column(zone, local)] if zone is not None else []), zero)
+    name = F.when(offset_column(zone).isNull(), zone) if zone is not None else F.lit(None).cast("string")
+    return F.when(local.isNotNull(), F.struct(local.alias("ts"), long(own).alias("offset"), name.alias("zone"), long(nanos % NANOS).alias("nanos")))
+
+
+def parts_columns(c: Column, t: ty.T) -> tuple[Column | None, Column, Column | None, Column | None]:
+    """Date, nanoseconds of the day, offset and zone of a column, as far as its type has them."""
+    if t == ty.DATE:
+        return c, F.lit(0).cast("long"), None, None
+    day = None if t in (ty.LOCALTIME, ty.TIME) else (c["ts"] if t == ty.DATETIME else c).cast("date")
+    return day, nanos_in_day(c, t), c["offset"] if t in (ty.TIME, ty.DATETIME) else None, c["zone"] if t == ty.DATETIME else None
+
+
+def text_column(to: ty.T, c: Column) -> Column:
+    """A column of texts in any of the forms that a literal may have; another text is an error when it is read."""
+
+    def bad(what: str) -> Column:
+        return F.raise_error(F.concat(F.lit(f"not a {what}: "), c))
+
+    def date(x: Column) -> Column:
+        out = F.when(x.isNull(), F.lit(None).cast("date"))
+        for form, names in DATE_FORMS:
+            own = {n: F.regexp_extract(x, form.pattern, i + 1).try_cast("int") for i, n in enumerate(names)}
+            out = out.when(F.rlike(x, F.lit(form.pattern)), date_columns(own))
+        return out.otherwise(bad("date").cast("date"))
+
+    def clock(x: Column) -> Column:
+        h, m, s, f = (F.coalesce(F.regexp_extract(x, TIME_FORM.pattern, i).try_cast("long"), F.lit(0)) for i in (1, 2, 3, 4))
+        fine = F.coalesce(F.rpad(F.regexp_extract(x, TIME_FORM.pattern, 4), 9, "0").try_cast("long"), F.lit(0))
+        good = F.rlike(x, F.lit(TIME_FORM.pattern)) & (h < 24) & (m < 60) & (s < 60) & f.isNotNull()
+        return F.when(x.isNull(), F.lit(None).cast("long")).when(good, (h * 3600 + m * 60 + s) * NANOS + fine).otherwise(bad("time").cast("long"))
+
+    if to == ty.DATE:
+        return date(c)
+    if to == ty.LOCALTIME:
+        return assembled(to, None, clock(c))
+    dated = to in (ty.LOCALDATETIME, ty.DATETIME)
+    timed = F.instr(c, "T") > 0
+    day = date(F.substring_index(c, "T", 1)) if dated else None
+    tail = F.when(timed, F.substring(c, F.instr(c, "T") + 1, F.length(c))).otherwise(F.lit("00")) if dated else c
+    if to == ty.LOCALDATETIME:
+        return assembled(to, day, clock(tail))
+    body, offset, zone = (F.regexp_extract(tail, ZONE_FORM.pattern, i) for i in (1, 2, 3))
+    return assembled(to, day, clock(body), offset_column(F.nullif(offset, F.lit(""))), F.nullif(zone, F.lit("")))
+
+
+def built_column(to: ty.T, fields: dict[str, tuple[Column, ty.T]]) -> Column:
+    """A value from columns of its fields; date, time and datetime fields select from other values. Null where a field is."""
+    known = {"date", "time", "datetime", "timezone", "year", "month", "day", "week", "dayOfWeek", "quarter", "dayOfQuarter", "ordinalDay", *SECOND_PARTS}
+    if unknown := set(fields) - known:
+        raise semantic(f"unknown field {min(unknown)!r}")
+    own: dict[str, Column] = {k: c for k, (c, _) in fields.items() if k not in ("date", "time", "datetime")}
+    zone = own.pop("timezone", None)
+    offset = None
+    for name in ("date", "time", "datetime"):
+        if name in fields:
+            day, nanos, at_offset, _ = parts_columns(*fields[name])
+            if name != "time" and day is not None:
+                own.setdefault("date", day)
+            if name != "date":
+                own.setdefault("time", nanos)
+                offset = at_offset if zone is None and to == ty.TIME else None
+    day = date_columns(own) if to in (ty.DATE, ty.LOCALDATETIME, ty.DATETIME) else None
+    value = assembled(to, day, nanos_columns(own) if to != ty.DATE else F.lit(0), offset, zone)
+    given = F.lit(True)
+    for c, _ in fields.values():
+        given = given & c.isNotNull()
+    return F.when(given, value)
+
+
+def epoch_column(seconds: Column, nanos: Column) -> Column:
+    """Date-times in UTC from seconds since 1970 and nanoseconds."""
+    whole = seconds + F.floor(nanos / NANOS)
+    day = F.date_add(F.lit(dt.date(1970, 1, 1)), F.floor(whole / DAY).cast("int"))
+    return F.when(seconds.isNotNull() & nanos.isNotNull(), assembled(ty.DATETIME, day, F.pmod(whole, F.lit(DAY)) * NANOS + F.pmod(nanos, F.lit(NANOS))))
+
+
+def duration_column(fields: dict[str, Column]) -> Column:
+    """A duration from columns of whole or decimal numbers of units: fractions of a unit go on to the next smaller one. Null where a field is."""
+    exact = lambda c: c.cast("string").cast("decimal(30,9)")
+    months, days, seconds, nanos = (F.lit(0).cast("decimal(30,9)") for _ in range(4))
+    for unit, c in fields.items():
+        if unit not in UNITS:
+            raise failed(f"unknown duration field {unit!r}")
+        m, d, n = UNITS[unit]
+        months, days = months + exact(c) * m, days + exact(c) * d
+        seconds, nanos = (seconds + exact(c) * (n // NANOS), nanos) if n >= NANOS else (seconds, nanos + exact(c) * n)
+    long = lambda c: c.cast("long")  # noqa: E731  towards zero
+    rest = lambda c: (c - long(c)).cast("decimal(20,9)")
+    extra = rest(months) * MONTH_SECONDS
+    days = days.cast("decimal(30,9)") + long(extra / DAY)
+    seconds = seconds.cast("decimal(30,9)") + (extra - long(extra / DAY) * DAY) + rest(days) * DAY
+    fine = long(rest(seconds) * NANOS) + long(nanos)
+    made = F.struct(long(months).alias("months"), long(days).alias("days"), (long(seconds) + F.floor(fine / NANOS)).cast("long").alias("seconds"), F.pmod(fine, F.lit(NANOS)).cast("long").alias("nanos"))
+    given = F.lit(True)
+    for c in fields.values():
+        given = given & c.isNotNull()
+    return F.when(given, made)
+
+
+def duration_text_column(c: Column) -> Column:
+    """Durations of texts like P1Y2M10DT2H30M; another text is an error when it is read."""
+    names = ("years", "months", "weeks", "days", "hours", "minutes", "seconds")
+    sign = F.when(F.startswith(c, F.lit("-")), -1).otherwise(1)
+    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(c, DURATION_FORM.pattern, i), F.lit("")).cast("decimal(28,9)"), F.lit(0).cast("decimal(28,9)")) * sign
+    good = F.rlike(c, F.lit(DURATION_FORM.pattern)) & (F.length(c) > 2)
+    return F.when(good, duration_column({n: part(i + 2) for i, n in enumerate(names)})).when(c.isNotNull(), F.raise_error(F.concat(F.lit("not a duration: "), c)))
+
+
+def truncated(unit: str, c: Column, t: ty.T, to: ty.T, fields: dict[str, tuple[Column, ty.T]] | None = None) -> Column:
+    """The start of the unit that a value lies in, as a value of the type, with fields set over it."""
+    day, nanos, offset, zone = parts_columns(c, t)
+    unit, fields = unit.lower(), dict(fields or {})
+    if unit in CLOCK_UNITS:
+        nanos = nanos - nanos % CLOCK_UNITS[unit]
+    elif day is None:
+        raise semantic(f"a time has no {unit}")
     else:
-        raise semantic(f"unknown unit {unit!r}")
-    return start.cast("date") if to == ty.DATE else start
+        nanos = F.lit(0).cast("long")
+        if unit in YEARS:
+            day = F.make_date(F.greatest(F.floor(F.year(day) / YEARS[unit]) * YEARS[unit], F.lit(1)).cast("int"), F.lit(1), F.lit(1))
+        elif unit == "weekyear":
+            day = date_columns({"year": F.extract(F.lit("YEAROFWEEK"), day), "week": F.lit(1)})
+        elif unit in ("year", "quarter", "month", "week"):
+            day = F.trunc(day, unit)
+        else:
+            raise semantic(f"unknown unit {unit!r}")
+    if day is None and to not in (ty.LOCALTIME, ty.TIME):
+        raise semantic(f"a {to} needs a date")
+    sub = {k: fields.pop(k)[0].cast("long") for k in ("millisecond", "microsecond", "nanosecond") if k in fields}
+    own = {"time": nanos} | ({"date": day} if day is not None else {}) | {k: x for k, (x, _) in fields.items() if k != "timezone"}
+    day = date_columns(own) if to in (ty.DATE, ty.LOCALDATETIME, ty.DATETIME) else None
+    nanos = nanos_columns(own) + sum((x * {"millisecond": 1_000_000, "microsecond": 1000, "nanosecond": 1}[k] for k, x in sub.items()), F.lit(0).cast("long"))
+    if "timezone" in fields:
+        offset, zone = None, fields["timezone"][0]
+    elif zone is not None:  # a named zone may be ahead by another offset at the start of the unit
+        offset = F.when(zone.isNull(), offset)
+    return F.when(c.isNotNull(), assembled(to, day, nanos, offset, zone))
 
 
 def between(kind: str, a: Column, ta: ty.T, b: Column, tb: ty.T) -> Column:
     """Duration from a to b: whole calendar months and days and the rest, or all in one unit."""
-    if {ta, tb} - {ty.DATE, ty.LOCALDATETIME}:
-        raise semantic(f"no duration between {ta} and {tb} columns")
-    x, y = a.cast("timestamp_ntz"), b.cast("timestamp_ntz")
     zero = F.lit(0).cast("long")
+    if {ta, tb} & {ty.LOCALTIME, ty.TIME}:  # times alone count
+        (_, na, oa, _), (_, nb, ob, _) = parts_columns(a, ta), parts_columns(b, tb)
+        apart = nb - na - ((ob - oa) * NANOS if oa is not None and ob is not None else zero)
+        some = kind in ("inSeconds", "between")
+        made = F.struct(zero.alias("months"), zero.alias("days"), (F.floor(apart / NANOS) if some else zero).cast("long").alias("seconds"), (F.pmod(apart, F.lit(NANOS)) if some else zero).cast("long").alias("nanos"))
+        return F.when(a.isNotNull() & b.isNotNull(), made)
+    x, y = ((c["ts"] if t == ty.DATETIME else c).cast("timestamp_ntz") for c, t in ((a, ta), (b, tb)))
+    if ta == tb == ty.DATETIME:  # both at an offset: as in UTC
+        x, y = (F.timestamp_add("SECOND", -c["offset"].cast("int"), z) for c, z in ((a, x), (b, y)))
     micros = F.timestamp_diff("MICROSECOND", x, y)
     seconds, nanos = F.floor(micros / 1_000_000).cast("long"), F.pmod(micros, F.lit(1_000_000)) * 1000
     if kind == "inSeconds":

@@ -116,7 +116,7 @@ def unified(a: T, b: T) -> T:
 
 
 def converted(c: Column, have: T, want: T) -> Column:
-    """The column as the wanted type; any is the printed form."""
+    """The column as the wanted type; any is a text that tells values of all types apart."""
     if have == want:
         return c
     if have == NULL:
@@ -124,7 +124,7 @@ def converted(c: Column, have: T, want: T) -> Column:
     if want == FLOAT and have == INT:
         return c.cast("double")
     if want == ANY:
-        return printed(c, have)
+        return tagged(c, have)
     if want.name == "list" and have.name == "list":
         return F.transform(c, lambda x: converted(x, have.elem, want.elem))
     if want.name in ("map", "node", "relationship") and have.name == want.name:
@@ -140,6 +140,19 @@ def converted(c: Column, have: T, want: T) -> Column:
     return c.cast(to_spark(want))
 
 
+def tagged(c: Column, t: T) -> Column:
+    """The value's literal: equal values, 1 and 1.0 among them, have equal texts, values of other types have others."""
+    if t == FLOAT:
+        return F.when((c == F.floor(c)) & (F.abs(c) < 2.0**53), F.floor(c).cast("string")).otherwise(c.cast("string"))
+    if t in (INT, BOOL):
+        return c.cast("string")
+    if t == STRING:
+        return F.when(c.isNotNull(), F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1))
+    if t.name == "list":
+        return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: F.coalesce(tagged(x, t.elem), F.lit("null"))), ", "), F.lit("]")) if t.elem != NULL else F.when(c.isNotNull(), "[]")
+    return F.concat(F.lit(f"{t.name}("), printed(c, t), F.lit(")"))
+
+
 def printed(c: Column, t: T) -> Column:
     if t.name in ("list", "map", "node", "relationship", "path"):
         return F.to_json(c)

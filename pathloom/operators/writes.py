@@ -1,7 +1,7 @@
 """Updates as new snapshots: tables are immutable, a clause gives the graph after it, and a failure leaves the old one.
 
 Rows that an update works on are written once before it, so that ids and values are decided a single time. Ids of new
-entities continue the graph's counters in the order of rows; the driver learns one count for each partition.
+entities continue the graph's counters in the order of rows, by sums over partitions. A table that can hold none of the changed entities stays as it is, unread.
 """
 
 from __future__ import annotations
@@ -29,16 +29,14 @@ def numbered(state):
     spark, row = state.env.graph.spark, fresh("row")
     df = state.df.withColumns({f"{row}p": F.spark_partition_id(), f"{row}m": F.monotonically_increasing_id()})
     df = stored(spark, df)
-    counts = {r[0]: r[1] for r in df.groupBy(f"{row}p").agg(F.count(F.lit(1))).collect()}
-    base, total = [], 0
-    for p in sorted(counts):
-        base.append((p, total))
-        total += counts[p]
-    offset = F.lit(0).cast("long")
-    if len(base) > 1:
-        offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in base for x in pair]), column(f"{row}p").cast("long"))
-    number = offset + column(f"{row}m").bitwiseAND(F.lit((1 << 33) - 1))
-    return state.keep(df=df.withColumn(row, number).drop(f"{row}p", f"{row}m")), row, total
+    # a row for each partition: sums of those before
+    counts = df.groupBy(f"{row}p").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy(f"{row}p").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(column(f"{row}p").alias(f"{row}q"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(f"{row}b"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    df = df.join(bases, column(f"{row}p") == column(f"{row}q"))
+    number = column(f"{row}b") + column(f"{row}m").bitwiseAND(F.lit((1 << 33) - 1))
+    return state.keep(df=df.withColumn(row, number).drop(*[f"{row}{x}" for x in "pmqb"])), row, total
 
 
 def properties(props: N | None, state) -> dict[str, tuple[Column, ty.T]]:
@@ -106,7 +104,7 @@ def create_node(state, n: N, row: str):
     df = stored(graph.spark, state.df.withColumns(new))
     entity = Entity("node", prefix, {k: storable(t) for k, (_, t) in props.items()})
     rows = df.select(entity.id.alias("id"), *[entity.prop(k).alias(k) for k in entity.props])
-    graph = replace(graph, nodes=[*graph.nodes, NodeTable(rows, tuple(labels), dict(entity.props))], next_node=first + total)
+    graph = replace(graph, nodes=[*graph.nodes, NodeTable(rows, tuple(labels), dict(entity.props), ids=(first, first + total))], next_node=first + total)
     return state.keep(df=df, env=with_graph(state.env, graph, {n.var: entity} if n.var else {})), entity
 
 
@@ -120,7 +118,7 @@ def create_rel(state, r: N, source: Entity, target: Entity, row: str):
     if not df.filter(entity.col("src").isNull() | entity.col("dst").isNull()).isEmpty():
         raise GraphQueryError("RuntimeError: a created relationship needs both of its nodes")
     rows = df.select(entity.id.alias("id"), entity.col("src").alias("src"), entity.col("dst").alias("dst"), *[entity.prop(k).alias(k) for k in entity.props])
-    graph = replace(graph, rels=[*graph.rels, RelTable(rows, r.types[0], dict(entity.props))], next_rel=first + total)
+    graph = replace(graph, rels=[*graph.rels, RelTable(rows, r.types[0], dict(entity.props), ids=(first, first + total))], next_rel=first + total)
     return state.keep(df=df, env=with_graph(state.env, graph, {r.var: entity} if r.var else {})), entity
 
 
@@ -175,6 +173,13 @@ def entity_of(state, var: str):
     return state.keep(df=match.df, env=match.env), entity
 
 
+def touched(tables: list, ids: DataFrame, name: str) -> list[bool]:
+    """For each table whether it can hold any of the ids, by one pass over them; tables without a known range of ids can."""
+    asked = [(i, t.ids) for i, t in enumerate(tables) if t.ids is not None]
+    hits = ids.agg(*[F.max(F.col(name).between(lo, hi - 1)).alias(f"t{i}") for i, (lo, hi) in asked]).first() if asked else {}
+    return [t.ids is None or bool(hits[f"t{i}"]) for i, t in enumerate(tables)]
+
+
 def change(state, var: str, props: dict | None = None, labels=None):
     """New property values or labels for the entities of a variable; of several rows for one entity the last wins."""
     state, entity = entity_of(state, var)
@@ -184,8 +189,11 @@ def change(state, var: str, props: dict | None = None, labels=None):
     rows = state.df.filter(entity.id.isNotNull()).select(entity.id.alias("at"), column(row).alias("row"), *cells)
     last = Window.partitionBy("at").orderBy(F.desc("row"))
     rows = stored(graph.spark, rows.withColumn("n", F.row_number().over(last)).filter("n = 1").drop("n", "row"))
-    tables = []
-    for t in graph.nodes if entity.kind == "node" else graph.rels:
+    tables, held = [], graph.nodes if entity.kind == "node" else graph.rels
+    for t, hit in zip(held, touched(held, rows, "at"), strict=True):
+        if not hit:  # stays as it is, not even read
+            tables.append(t)
+            continue
         df = t.df
         if labels is not None and t.labels is not None:
             df, t = df.withColumn("labels", F.array(*map(F.lit, t.labels)).cast("array<string>")), replace(t, labels=None)
@@ -245,17 +253,21 @@ def deleted(state, clause: N):
         return stored(graph.spark, out.filter("gone is not null").distinct())
 
     nodes, rels = ids(node_ids), ids(rel_ids)
-    tables = []
-    for t in graph.rels:
+    tables, gone_from = [], [t for t, hit in zip(graph.nodes, touched(graph.nodes, nodes, "gone"), strict=True) if hit] if node_ids else []
+    for t, hit in zip(graph.rels, touched(graph.rels, rels, "gone"), strict=True):
+        ends = gone_from and (None in t.ends or any(x.labels is None or any(set(e) <= set(x.labels) for e in t.ends) for x in gone_from))
+        if not (hit and rel_ids) and not ends:  # neither its relationships nor their ends go
+            tables.append(t)
+            continue
         df = t.df.join(rels, t.df.id == rels.gone, "left_anti")
-        if node_ids:
+        if ends:
             either = F.array("src", "dst")
             touching = df.select("id", F.explode(either).alias("end")).join(nodes, F.col("end") == nodes.gone, "left_semi").select(F.col("id").alias("touched")).distinct()
             if not clause.detach and not touching.isEmpty():
                 raise GraphQueryError("RuntimeError: a node that still has relationships cannot be deleted")
             df = df.join(touching, df.id == touching.touched, "left_anti")
         tables.append(replace(t, df=stored(graph.spark, df)))
-    kept = [replace(t, df=stored(graph.spark, t.df.join(nodes, t.df.id == nodes.gone, "left_anti"))) for t in graph.nodes] if node_ids else graph.nodes
+    kept = [replace(t, df=stored(graph.spark, t.df.join(nodes, t.df.id == nodes.gone, "left_anti"))) if any(t is x for x in gone_from) else t for t in graph.nodes]
     return state.keep(env=with_graph(state.env, replace(graph, nodes=kept, rels=tables), {}))
 
 

@@ -231,10 +231,8 @@ def unwound(state: State, clause: N) -> State:
     state, e = with_subqueries(state, clause.expr)
     c, t = compiled(e, state.env)
     out = fresh("u")
-    if t == ty.NULL:
+    if t == ty.NULL or t.name != "list":  # only lists have rows
         df, elem = state.df.withColumn(out, F.lit(None).cast("string")).limit(0), ty.NULL
-    elif t.name != "list":
-        raise semantic(f"UNWIND of {t}")
     else:
         df, elem = state.df.withColumn(out, F.explode(c)), t.elem
     return state.keep(df=df, env=state.env.bound(**{clause.alias: Value(column(out), elem, out)}))

@@ -18,24 +18,26 @@ SPAN = 1 << 48
 
 @dataclass
 class NodeTable:
-    """df has id, properties, and labels where they are not the same for all rows."""
+    """df has id, properties, and labels where they are not the same for all rows; ids: a range that all ids lie in, where known."""
 
     df: DataFrame
     labels: tuple[str, ...] | None
     props: dict[str, ty.T]
     unique: tuple[str, ...] = ()
     rows: int | None = None
+    ids: tuple[int, int] | None = None
 
 
 @dataclass
 class RelTable:
-    """df has id, src, dst and properties; ends: labels that all sources and targets have, where known."""
+    """df has id, src, dst and properties; ends: labels that all sources and targets have, where known; ids: as for nodes."""
 
     df: DataFrame
     type: str
     props: dict[str, ty.T]
     ends: tuple[tuple[str, ...] | None, tuple[str, ...] | None] = (None, None)
     rows: int | None = None
+    ids: tuple[int, int] | None = None
 
 
 def _props(df: DataFrame, besides: set[str]) -> dict[str, ty.T]:
@@ -64,7 +66,7 @@ class PropertyGraph:
         labels, number = (label,) if isinstance(label, str) else label, len(self.nodes)
         wide = _widened(df)
         out = wide.select((F.lit(number * SPAN) + F.col(key).cast("long")).alias("id"), *[F.col(f"`{c}`") for c in wide.columns if c != "id"])
-        return replace(self, nodes=[*self.nodes, NodeTable(out, labels, _props(out, {"id"}), unique, rows)], next_node=max(self.next_node, (number + 1) * SPAN))
+        return replace(self, nodes=[*self.nodes, NodeTable(out, labels, _props(out, {"id"}), unique, rows, (number * SPAN, (number + 1) * SPAN))], next_node=max(self.next_node, (number + 1) * SPAN))
 
     def with_relationships(self, type_: str, df: DataFrame, source: tuple[str, str], target: tuple[str, str], key: str, props: dict[str, str] | None = None, rows: int | None = None) -> PropertyGraph:
         """Adds a relationship table; source and target are (label, key column), key is the row's own number, props names columns."""
@@ -73,7 +75,7 @@ class PropertyGraph:
         kept = _widened(df.select(*[F.col(c).alias(n) for n, c in (props or {}).items()], F.col(key).alias("_key"), *[F.col(c).alias(f"_{n}") for (_, c), n in ((source, "src"), (target, "dst"))]))
         ends = [(F.lit(base[label] * SPAN) + F.col(f"_{name}").cast("long")).alias(name) for (label, _), name in ((source, "src"), (target, "dst"))]
         out = kept.select((F.lit(number * SPAN) + F.col("_key").cast("long")).alias("id"), *ends, *(props or {}))
-        return replace(self, rels=[*self.rels, RelTable(out, type_, _props(out, {"id", "src", "dst"}), ((source[0],), (target[0],)), rows)], next_rel=max(self.next_rel, (number + 1) * SPAN))
+        return replace(self, rels=[*self.rels, RelTable(out, type_, _props(out, {"id", "src", "dst"}), ((source[0],), (target[0],)), rows, (number * SPAN, (number + 1) * SPAN))], next_rel=max(self.next_rel, (number + 1) * SPAN))
 
     def with_entities(self, nodes: DataFrame | None, rels: list[tuple[str, DataFrame]]) -> PropertyGraph:
         """A graph of nodes with their own labels column (id, labels, properties) and relationships (id, src, dst, properties) by type."""
@@ -126,15 +128,6 @@ class PropertyGraph:
         return node_values(self)
 
 
-def demo_graph(spark: SparkSession) -> PropertyGraph:
-    """Three nodes and two relationships, for examples and tests."""
-    nodes = spark.createDataFrame([(0, ["Person"], "Ada", 36), (1, ["Person"], "Grace", 85), (2, ["Language"], "C++", None)], "id long, labels array<string>, name string, age long")
-    knows = spark.createDataFrame([(0, 0, 1, 2020)], "id long, src long, dst long, since long")
-    uses = spark.createDataFrame([(1, 1, 2, 1970)], "id long, src long, dst long, since long")
-    graph = PropertyGraph(spark).with_entities(nodes, [("KNOWS", knows), ("USES", uses)])
-    return replace(graph, next_node=3, next_rel=2)
-
-
 def warehouse_graph(spark: SparkSession, folder: str) -> PropertyGraph:
     """The star-schema tables in folder as a graph; properties drop the tables' prefixes."""
 
