@@ -14,8 +14,9 @@ c(v), so that something is left to back off to. Discounts d(r) for r up to 5 are
 allow them, (r - 0.5) / r.
 
 Defined cases: a null text is empty and has the end alone; a null id counts as the empty string, which is held out;
-repeated rows are documents of their own; an empty table gives no rows; other columns are ignored. Words are told
-apart by 64 bits of XXH64; word numbers fit 32 bits.
+repeated rows are documents of their own; a text of any length is read whole, and ends its chunk where that is full; an
+empty table gives no rows; other columns are ignored. Words are told apart by 64 bits of XXH64 and numbered by 64 bits;
+inside a chunk or bucket, words and contexts go by their places in it.
 """
 
 from __future__ import annotations
@@ -74,9 +75,9 @@ class Chunk:
         self.held = np.array([held_out(i) for i in ids], bool)
         self.train = np.repeat(~self.held, lengths)
 
-    def pairs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (context, word) pairs as context << 32 | word, sorted, and each token's place among them."""
-        words = numbers[self.tokens].astype(np.uint64)
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (context, word) pairs of places among the chunk's words as context << 32 | word, sorted, and each token's place among them."""
+        words = self.tokens.astype(np.uint64)
         ends = np.cumsum(self.lengths) - 1
         before = np.empty_like(words)
         before[1:] = words[:-1]
@@ -158,12 +159,10 @@ def word_replies(requests: DataFrame, buckets: int) -> DataFrame:
         total = np.bincount(place, np.concatenate(counts), len(distinct)).astype(np.int64)
         numbers = np.empty(len(distinct), np.int64)
         numbers[np.argsort(-total, kind="stable")] = np.arange(len(distinct)) * buckets + rows[0]["bucket"]
-        if int(numbers.max()) >= 1 << 32:
-            raise ValueError("more words than 32 bits number")
         out, at = [(-1, 1, rows[0]["bucket"], b"", pack(np.array([(total > 0).sum()])))], 0
         for r, w in zip(rows, words, strict=True):
             p = place[at : at + len(w)]
-            out.append((r["chunk"], 0, r["bucket"], pack(numbers[p].astype("<u4")), pack(narrow(total[p]))))
+            out.append((r["chunk"], 0, r["bucket"], pack(numbers[p].astype("<u8")), pack(narrow(total[p]))))
             at += len(w)
         return pa.Table.from_batches([batch("chunk kind bucket a b", *out)])
 
@@ -180,35 +179,38 @@ def numbered(replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([unpack(r["a"]) for r in rows]), np.concatenate([unpack(r["b"]).astype(np.int64) for r in rows])
 
 
-def bucketed(pairs: np.ndarray, context_counts: np.ndarray, buckets: int, share: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each pair's bucket, by its context; contexts with over share tokens are spread by the word. Also which are spread."""
+def bucketed(contexts: np.ndarray, words: np.ndarray, context_counts: np.ndarray, buckets: int, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair's bucket, by its context's number; contexts with over share tokens are spread by the word. Also which are spread."""
     spread = -(-context_counts // share)
     wide = context_counts > share
-    return ((mix(pairs >> np.uint64(32)) + np.where(wide, mix(pairs & np.uint64(0xFFFFFFFF)) % np.maximum(spread, 1).astype(np.uint64), 0).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), wide
+    return ((mix(contexts) + np.where(wide, mix(words) % np.maximum(spread, 1).astype(np.uint64), 0).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), wide
 
 
-def placed_pairs(chunk: Chunk, numbers: np.ndarray, counts: np.ndarray, buckets: int, share: int):
-    """Pairs, tokens' places among them, the order of the pairs by bucket and its cuts, and the words' counts."""
-    pairs, place = chunk.pairs(numbers)
-    order = np.argsort(numbers)
-    look = lambda n: counts[order][np.searchsorted(numbers[order], n)]
-    context, word = look(pairs >> np.uint64(32)), look(pairs & np.uint64(0xFFFFFFFF))
-    bucket, wide = bucketed(pairs, context, buckets, share)
-    by_bucket = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
-    return pairs, place, by_bucket, cuts, word, wide
+class Placed:
+    """A chunk's pairs with the numbers and counts of their contexts and words: ``order`` has them by bucket, cut at ``cuts``; ``place`` is each token's pair."""
+
+    def __init__(self, chunk: Chunk, numbers: np.ndarray, counts: np.ndarray, buckets: int, share: int):
+        pairs, self.place = chunk.pairs()
+        self.context, word = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        self.numbers, self.word, self.word_count = numbers, numbers[word], counts[word]
+        bucket, self.wide = bucketed(numbers[self.context], self.word, counts[self.context], buckets, share)
+        self.order = np.argsort(bucket, kind="stable")
+        self.cuts = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
+
+    def of_bucket(self, b: int) -> np.ndarray:
+        return self.order[self.cuts[b] : self.cuts[b + 1]]
 
 
 def pair_requests(chunks: DataFrame, replies: DataFrame, buckets: int, share: int) -> DataFrame:
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for number, chunk in opened(left):
-            pairs, place, order, cuts, word, wide = placed_pairs(chunk, *numbered(right), buckets, share)
-            counts = np.bincount(place[chunk.train], minlength=len(pairs))
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                at = order[cuts[b] : cuts[b + 1]]
-                contexts, first, runs = np.unique(pairs[at] >> np.uint64(32), return_index=True, return_counts=True)
-                out.append((b, number, pack(np.stack([x.astype("<u4") for x in (contexts, runs, wide[at][first])])), pack((pairs[at] & np.uint64(0xFFFFFFFF)).astype("<u4")), pack(narrow(counts[at])), pack(narrow(word[at]))))
+            x = Placed(chunk, *numbered(right), buckets, share)
+            counts = np.bincount(x.place[chunk.train], minlength=len(x.word))
+            for b in np.flatnonzero(np.diff(x.cuts)).tolist():
+                at = x.of_bucket(b)
+                contexts, first, runs = np.unique(x.context[at], return_index=True, return_counts=True)
+                out.append((b, number, pack(np.stack([v.astype("<u8") for v in (x.numbers[contexts], runs, x.wide[at][first])])), pack(x.word[at].astype("<u8")), pack(narrow(counts[at])), pack(narrow(x.word_count[at]))))
         return pa.Table.from_batches([batch("bucket chunk a b c d", *out)])
 
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(ask, REQUEST)
@@ -232,23 +234,27 @@ def pair_replies(requests: DataFrame, share: int) -> DataFrame:
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        keys, counts, words, spread = [], [], [], set()
+        heads, runs, tails, counts, words, spread = [], [], [], [], [], set()
         for r in rows:
-            contexts, runs, wide = unpack(r["a"]).reshape(3, -1)
+            contexts, run, wide = unpack(r["a"]).reshape(3, -1)
             spread.update(contexts[wide > 0].tolist())
-            keys.append(np.repeat(contexts, runs).astype(np.uint64) << np.uint64(32) | unpack(r["b"]))
+            heads.append(contexts)
+            runs.append(run.astype(np.int64))
+            tails.append(unpack(r["b"]))
             counts.append(unpack(r["c"]).astype(np.int64))
             words.append(unpack(r["d"]).astype(np.int64))
-        distinct, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        contexts, head = np.unique(np.concatenate(heads), return_inverse=True)
+        _, tail = np.unique(np.concatenate(tails), return_inverse=True)
+        pairs = np.repeat(head.astype(np.uint64), np.concatenate(runs)) << np.uint64(32) | tail.astype(np.uint64)
+        distinct, first, place = np.unique(pairs, return_index=True, return_inverse=True)
         total = np.bincount(place, np.concatenate(counts), len(distinct)).astype(np.int64)
-        contexts, of = np.unique(distinct >> np.uint64(32), return_inverse=True)
-        sums = context_sums(of, total, np.concatenate(words)[first], len(contexts))
+        sums = context_sums((distinct >> np.uint64(32)).astype(np.int64), total, np.concatenate(words)[first], len(contexts))
         bucket, part = rows[0]["bucket"], np.isin(contexts, np.array(sorted(spread), np.uint64))
-        out, at = [(-1, 3, bucket, b"", pack(np.array([(total == r).sum() for r in range(1, TOP + 2)]))), (-1, 4, bucket, pack(contexts[part]), pack(sums[part]))], 0
-        for r, k in zip(rows, keys, strict=True):
-            own = np.searchsorted(contexts, np.unique(k >> np.uint64(32)))
-            out.append((r["chunk"], 2, bucket, pack(narrow(total[place[at : at + len(k)]])), pack(narrow(sums[own].T))))
-            at += len(k)
+        out = [(-1, 3, bucket, b"", pack(np.array([(total == r).sum() for r in range(1, TOP + 2)]))), (-1, 4, bucket, pack(contexts[part]), pack(sums[part]))]
+        at, from_ = np.cumsum([0, *(len(t) for t in tails)]), np.cumsum([0, *(len(h) for h in heads)])
+        for i, r in enumerate(rows):
+            own = head[from_[i] : from_[i + 1]]
+            out.append((r["chunk"], 2, bucket, pack(narrow(total[place[at[i] : at[i + 1]]])), pack(narrow(sums[own].T))))
         return pa.Table.from_batches([batch("chunk kind bucket a b", *out)])
 
     return requests.groupBy("bucket").applyInArrow(add, REPLY)
@@ -297,10 +303,10 @@ def scored(spark: SparkSession, docs: DataFrame) -> DataFrame:
     buckets, share = max(LEAST, -(-(n or 0) // BUCKET_TOKENS)), max(SPREAD_TOKENS, (train or 0) // SPREAD)
     words = scratch.write(word_replies(word_requests(chunks, buckets), buckets), "words")
     tidy(spark)
-    known = sum(int(unpack(r.b)[0]) for r in words.filter("kind = 1").select("b").collect())
+    known = int(summed(words.filter("kind = 1"), 1)[0])
     pairs = scratch.write(pair_replies(pair_requests(chunks, words.filter("kind = 0"), buckets, share), share), "pairs")
     tidy(spark)
-    d = discounts(sum((unpack(r.b) for r in pairs.filter("kind = 3").select("b").collect()), np.zeros(TOP + 1)))
+    d = discounts(summed(pairs.filter("kind = 3"), TOP + 1))
     model, wide = Model(train or 0, known, d), wide_contexts(pairs)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -308,28 +314,42 @@ def scored(spark: SparkSession, docs: DataFrame) -> DataFrame:
         out = []
         for _, chunk in opened(left):
             numbers, counts = numbered(right)
-            keys, place, order, cuts, word, spread = placed_pairs(chunk, numbers, counts, buckets, share)
-            found = np.empty(len(keys))
+            x = Placed(chunk, numbers, counts, buckets, share)
+            found = np.empty(len(x.word))
             for r in of_kind(right, 2):
-                at = order[cuts[r["bucket"]] : cuts[r["bucket"] + 1]]
-                contexts, of = np.unique(keys[at] >> np.uint64(32), return_inverse=True)
+                at = x.of_bucket(r["bucket"])
+                contexts, of = np.unique(x.context[at], return_inverse=True)
                 sums = unpack(r["b"]).reshape(SUMS, -1).T.astype(np.int64)
-                if spread[at].any():
-                    for i, c in enumerate(contexts.tolist()):
+                if x.wide[at].any():
+                    for i, c in enumerate(numbers[contexts].tolist()):
                         if c in wide:
                             sums[i] = wide[c]
                 divisor, weight = model.weights(sums)
-                found[at] = model.pair(unpack(r["a"]).astype(np.int64), word[at], divisor[of], weight[of])
+                found[at] = model.pair(unpack(r["a"]).astype(np.int64), x.word_count[at], divisor[of], weight[of])
             starts = np.cumsum(chunk.lengths) - chunk.lengths
             add = lambda x: np.add.reduceat(x, starts)
             own = counts[chunk.tokens]
-            out.append(pa.table([pa.array(chunk.ids, pa.int64()), pa.array(chunk.held), pa.array(chunk.lengths), pa.array(add((own > 0).astype(np.int64))), pa.array(np.full(len(starts), model.tokens)), pa.array(add(np.log10(model.word(own)))), pa.array(add(np.log10(found)[place]))], schema=schema))
+            out.append(pa.table([pa.array(chunk.ids, pa.int64()), pa.array(chunk.held), pa.array(chunk.lengths), pa.array(add((own > 0).astype(np.int64))), pa.array(np.full(len(starts), model.tokens)), pa.array(add(np.log10(model.word(own)))), pa.array(add(np.log10(found)[x.place]))], schema=schema))
         return pa.concat_tables(out)
 
     replies = words.filter("kind = 0").unionByName(pairs.filter("kind = 2"))
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def summed(rows: DataFrame, size: int) -> np.ndarray:
+    """The sum of the packed arrays b, of which there is one for each bucket."""
+
+    def add(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for b in batch["b"].to_pylist():
+                total += unpack(b).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], names=["sums"])
+
+    found = rows.select("b").mapInArrow(add, "sums array<long>").agg(*[F.coalesce(F.sum(F.get("sums", F.lit(i))), F.lit(0)).alias(f"s{i}") for i in range(size)]).first()
+    return np.array(found, np.float64)
+
+
 def wide_contexts(pairs: DataFrame) -> dict[int, np.ndarray]:
     """Sums over all buckets of the contexts that are spread, of which there are SPREAD at most."""
 
