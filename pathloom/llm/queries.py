@@ -22,7 +22,9 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passage_digests(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    digests = found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "spans", "kept")
+    # the spans themselves, and what remains as text (a character that lost a byte is a replacement character)
+    return digests.withColumn("kept_text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
