@@ -10,7 +10,7 @@ descending length. Sequences with equal contents are held as runs, so the plan i
 size that depends on ``capacity`` and ``groups`` alone; each piece finds its place by its rank among its length.
 
 Defined cases: a null text is empty and has the end id alone; a document longer than ``capacity`` is cut into pieces
-of ``capacity`` tokens and a rest; repeated rows are documents of their own; null ids are kept; an empty table gives
+of ``capacity`` tokens and a rest (a text of any length is encoded whole); repeated rows are documents of their own; null ids are kept; an empty table gives
 no rows; other columns are ignored.
 """
 

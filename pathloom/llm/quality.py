@@ -8,7 +8,8 @@ ordered CASE expression.
 The labelled rows are a bounded sample (``max_labelled``, those with the smallest hash of their id); everything else
 covers all rows. Defined cases: a null text has no words; nulls among the labels, and labels of unknown documents,
 are ignored; a document labelled more than once counts with its smallest quality; without labels, or with one class
-only, the list is empty and the base rules alone decide; repeated rows are judged alike; other columns are ignored.
+only, the list is empty and the base rules alone decide; repeated rows are judged alike; a text of any length is measured
+whole (its words and their windows lie in memory, some 100 bytes a word); other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ Links feed alternating star contractions until each node points at the smallest
 written table. Nothing that grows with the documents comes to the driver.
 
 Defined cases: a text without words (null, empty, white space) has fingerprint zero, which links like any other;
+a text of any length is hashed whole (8 bytes a shingle in memory);
 repeated rows and copies share a component; null ids never name a component unless it has no other; an empty table
 gives no rows; other columns are ignored.
 """
