@@ -216,10 +216,14 @@ def change(state, var: str, props: dict | None = None, labels=None):
 
 def refreshed(state, kind: str):
     """Variables of the kind read again from the graph, so that later clauses see the update."""
-    df, new = state.df, {}
+    df, new, graph = state.df, {}, state.env.graph
     for name, v in state.env.vars.items():
         if isinstance(v, Entity) and v.kind == kind:
-            fresh_rows, entity = scan_nodes(state.env.graph, (), fresh("n")) if kind == "node" else scan_rels(state.env.graph, v.types, "out", fresh("r"))
+            if kind == "node":
+                among = [t for t, hit in zip(graph.nodes, touched(graph.nodes, state.df.select(v.id.alias("at")), "at"), strict=True) if hit]
+                fresh_rows, entity = scan_nodes(graph, (), fresh("n"), among)
+            else:
+                fresh_rows, entity = scan_rels(graph, v.types, "out", fresh("r"))
             df = df.join(fresh_rows, v.id == entity.id, "left")
             new[name] = entity
     return state.keep(df=stored(state.env.graph.spark, df), env=state.env.bound(**new))
