@@ -130,3 +130,46 @@ def test_recall_against_all_pairs(spark):
     got = {r.doc_id for r in similar.first_of_each(spark, docs).collect()} - {rows[i].doc_id for i in empty}
     different = len(pairs) and sum(len(places[a]) != len(places[b]) or (places[a] != places[b]).any() for a, b in pairs)
     assert want <= got and different > 10 and len(got - want) <= 0.05 * (len(rows) - len(want))
+
+
+def few_changes(members, length=300):
+    """Texts of one template with two words of their own: all pairs have a similarity over 0.85."""
+    r = random.Random(9)
+    out = []
+    for i in range(members):
+        text = [f"t{k}" for k in range(length)]
+        for place in r.sample(range(0, length, 10), 2):
+            text[place] = f"m{i}x{place}"
+        out.append((i, " ".join(text), "s"))
+    return out
+
+
+def test_fingerprints_in_reach_are_linked_without_bands(spark, monkeypatch):
+    """The pigeonhole over 64-bit fingerprints is a way of its own to the links."""
+    meet = similar.meetings
+    monkeypatch.setattr(similar, "meetings", lambda nodes: meet(nodes).filter("size < 0"))
+    rows = few_changes(30)
+    prints = [int(similar.sketch(similar.shingle_set(t, 5))[0]) for _, t, _ in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i, x in enumerate(prints):
+            for j, y in enumerate(prints):
+                if (x ^ y).bit_count() <= 3:
+                    assert jaccard(rows[i][1], rows[j][1]) >= 0.8
+                    root[i] = root[j] = min(root[i], root[j])
+    got = sorted(r.doc_id for r in similar.first_of_each(spark, documents(spark, rows)).collect())
+    assert got == sorted({*root}) and len(got) < len(rows)
+
+
+def test_a_crowd_gives_as_many_links_as_members_at_most(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 64)
+    rows = few_changes(60)
+    texts = spark.createDataFrame([(f"n{i:03}", t) for i, t, _ in rows], "node string, text string")
+    met = spark.createDataFrame([(1, f"n{i:03}", len(rows), f"n{i:03}") for i, _, _ in rows], "key long, node string, size long, root string")
+    links = similar.in_crowds(similar.Scratch(spark, "t"), met, texts, 5, 0.8).collect()
+    assert len(links) == len(rows) - 1  # 1770 pairs are similar
+    root = {f"n{i:03}": f"n{i:03}" for i, _, _ in rows}
+    for _ in rows:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {*root.values()} == {"n000"}
