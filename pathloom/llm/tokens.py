@@ -25,26 +25,45 @@ CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 ODD = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200d\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
 #: Letters and numbers among the code points up to U+024F; these and some signs make a Latin text.
 LETTERS, NUMBERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", r"0-9\xb2\xb3\xb9\xbc-\xbe"
-NOT_LATIN = re.compile(r"[^\x00-ɏ–—‘-„…]|<\|")
+NOT_LATIN = re.compile(r"[^\x00-ɏ–—‘-„…]")
 SPACE = r" \n\t\r"
 SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
-#: The pieces of the two kinds of vocabulary, as their files define them.
-PIECES = {
-    "bytes": re.compile(rf"{SHORT}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"),
-    "words": re.compile(rf"{SHORT}|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+"),
-}
+
+
+def patterns(letters: str, numbers: str) -> dict[str, re.Pattern]:
+    """The pieces of the two kinds of vocabulary, as their files define them; letters come first, which no other alternative begins with."""
+    return {
+        "bytes": re.compile(rf" ?[{letters}]+|{SHORT}| ?[{numbers}]+| ?[^{SPACE}{letters}{numbers}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"),
+        "words": re.compile(rf"[{letters}]+|{SHORT}|[{numbers}]|[^{SPACE}{letters}{numbers}]+"),
+    }
+
+
+PIECES, ASCII_PIECES = patterns(LETTERS, NUMBERS), patterns("A-Za-z", "0-9")
 #: Bytes that a memory of pieces may hold, by a rough count of its strings and ids, and the longest piece it takes.
 KNOWN_BYTES, MAX_PIECE = 80 << 20, 64
 _encoders: dict[str, PieceEncoder] = {}
 
 
+class Young(dict):
+    """Pieces and their ids; one that is looked up and not there is asked of the memory."""
+
+    memory: Remembered
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.memory.recalled(piece)
+
+
 class Remembered:
     """Ids of pieces, as bytes, in two generations: pieces of the older one that are met again move to the younger one; when that is full, the older one goes."""
 
     def __init__(self, most: int = KNOWN_BYTES):
-        self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.size, self.most = 0, most
+        self.most = most
+        self.renew()
+
+    def renew(self) -> None:
+        self.young, self.size = Young(), 0
+        self.young.memory = self
 
     def missing(self, parts: list[str]) -> list[str]:
         """Distinct pieces that are not known; the known ones are in ``young`` from now on, until the next call of ``trim``."""
@@ -56,6 +75,15 @@ class Remembered:
                 new.append(p)
         return new
 
+    def recalled(self, piece: str) -> bytes:
+        """The ids of a piece that is not in ``young``, and is from now on unless it is long."""
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+        if len(piece) <= MAX_PIECE:
+            self.add(piece, ids)
+        return ids
+
     def add(self, piece: str, ids: bytes) -> None:
         self.young[piece] = ids
         self.size += 200 + len(piece) + len(ids)
@@ -65,7 +93,8 @@ class Remembered:
 
     def trim(self) -> None:
         if 2 * self.size > self.most:
-            self.young, self.old, self.size = {}, self.young, 0
+            self.old = self.young
+            self.renew()
 
 
 def vocabulary(name: str) -> str:
@@ -103,14 +132,25 @@ class PieceEncoder:
         if ODD.search(text):
             return np.asarray(self.whole(text), np.uint32)
         lower = text.lower() if self.kind == "words" else text
-        if NOT_LATIN.search(text) or (lower is not text and NOT_LATIN.search(lower)):
+        if plain := text.isascii():
+            latin = "<|" not in text
+        else:
+            latin = not (NOT_LATIN.search(text) or "<|" in text or (lower is not text and NOT_LATIN.search(lower)))
+        if not latin:
             return self.joined(CHUNK.findall(text), self.chunks, self.encode_chunks)
-        return self.joined(PIECES[self.kind].findall(lower), self.pieces, self.encode_pieces)
+        known = self.pieces
+        known.encode = self.encode_piece
+        out = np.frombuffer(b"".join(map(known.young.__getitem__, (ASCII_PIECES if plain else PIECES)[self.kind].findall(lower))), np.uint32)
+        known.trim()
+        return out
 
-    def encode_pieces(self, new: list[str]):
-        letters, tokenize = self.letters, self.model.tokenize
-        for piece in new:
-            yield array("I", [t.id for t in tokenize("".join([letters[b] for b in piece.encode()]))]).tobytes()
+    def encode_piece(self, piece: str) -> bytes:
+        letters = self.letters
+        if piece.isascii() and piece.isprintable():  # of these bytes only the blank has another letter
+            spelled = piece.replace(" ", letters[0x20])
+        else:
+            spelled = "".join([letters[b] for b in piece.encode()])
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def encode_chunks(self, new: list[str]):
         for at in range(0, len(new), 4096):

@@ -39,3 +39,17 @@ def test_memory_is_bounded_and_harmless():
         text = " ".join(f"w{r.randrange(3000)} y{r.randrange(20)}" for _ in range(r.randrange(40))) + " " + "z" * r.randrange(90)
         assert np.array_equal(small.encode(text), large.encode(text))
         assert len(small.pieces.young) + len(small.pieces.old) < 250
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_pieces_of_ascii_texts(name):
+    """Texts of ASCII alone have a pattern of their own, and a new piece goes to the model once."""
+    encoder, asked, r = tokens.PieceEncoder(tokens.vocabulary(name)), [], random.Random(8)
+    one = encoder.encode_piece
+    encoder.encode_piece = lambda piece: asked.append(piece) or one(piece)
+    text = " ".join(f"word{i % 40}'s #{i % 7}\t{'ab' * (i % 3)}\n" for i in range(300))
+    assert encoder.encode(text).tolist() == encoder.whole(text) and asked and len(asked) == len({*asked})
+    texts = ["".join(chr(r.randrange(1, 128)) for _ in range(r.randrange(80))) for _ in range(3000)] + ["z" * 200 + " " + "z" * 200, "a<|endoftext|>b", "it's 'lls <|"]
+    assert differing(encoder, texts) == []
+    ascii_, latin = tokens.ASCII_PIECES[encoder.kind], tokens.PIECES[encoder.kind]
+    assert all(ascii_.findall(t) == latin.findall(t) for t in texts)
