@@ -82,3 +82,33 @@ def test_ranks_follow_the_order_of_suffixes():
         (a, b, c, d, e, f), place = suffixes.distinct(symbol, kind, following, one, two, own)
         got = suffixes.merged(b, a, c, d, e, f)[place]
         assert (np.argsort(got, kind="stable") == np.argsort(exact, kind="stable")).all()
+
+
+def brute_words(rows, length):
+    """The words that stay, by row."""
+    words = [(t or "").encode().split() for _, t in rows]
+    seen = Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
+    out = []
+    for w in words:
+        gone = {i + k for i in range(len(w) - length + 1) if seen[tuple(w[i : i + length])] > 1 for k in range(length)}
+        out.append([x for i, x in enumerate(w) if i not in gone])
+    return out
+
+
+def test_passages_of_over_50_words(spark, monkeypatch):
+    """51 words repeat in less than 400 bytes, whatever white space lies between them; 50 do not."""
+    monkeypatch.setattr(suffixes, "CHUNK_BYTES", 6000)
+    monkeypatch.setattr(suffixes, "LEAST", 5)
+    r = random.Random(4)
+    prose = lambda n: [f"{r.choice('abcdefgh')}{r.randint(0, 999)}" for _ in range(n)]
+    at, near, long = prose(51), prose(50), prose(130)
+    shared = [at, near, long, long[20:95], ["x"] * 60]
+    rows = [(i, r.choice([" ", "\n", "  "]).join([*prose(r.choice([0, 7, 60])), *r.choice(shared), *prose(r.choice([0, 3, 55]))])) for i in range(120)]
+    rows += [(200, None), (201, " "), (202, " ".join(at)), (203, "  " + "\n".join(at)), (204, "\t".join(at) + " ")]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, source string").repartition(3)
+    got = {x.doc_id: x.text for x in suffixes.without_passages(spark, frame, length=5000, words=51).collect()}
+    want = {i: kept for (i, _), kept in zip(rows, brute_words(rows, 51), strict=True) if kept}
+    assert {i: t.encode().split() for i, t in got.items()} == want and len(want) < len(rows)
+    assert max(len(" ".join(s)) for s in (at, near)) < 400 and any(set(near) <= {w.decode() for w in kept} for kept in want.values())
+    both = {x.doc_id: x.text.encode().split() for x in suffixes.without_passages(spark, frame, words=51).collect()}
+    assert all(len(both.get(i, [])) <= len(kept) for i, kept in want.items())
