@@ -15,15 +15,17 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, release, tidy
-from .tokens import encoder
+from .tokens import GROUP, encoder
 
 MAGIC = b"RANS0001"
 HEADER = struct.Struct("<8sQIIIIII")  # magic, tokens, lanes, checkpoint steps, checkpoints, words, crc of ids, crc of the rest
@@ -123,13 +125,23 @@ class Coder:
         return out
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about GROUP bytes of text, at least one row each, so that a task does not hold the ids of a whole batch."""
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False)))
+    at = 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GROUP, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def staged_tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Blocks of whole documents in ascending order of their ids, and a histogram of the ids for each partition."""
     schema = pa.schema([("part", pa.int32()), ("start", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()), ("symbols", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
 
     def tokenize(batches):
-        encode, part = encoder(path).encode, TaskContext.get().partitionId()
-        start, keys, parts, size, histogram = 0, [], [], 0, np.zeros(0, np.int64)
+        encode, part = encoder(path).encode_many, TaskContext.get().partitionId()
+        start, keys, lengths, parts, size, histogram = 0, [], [], [], 0, np.zeros(0, np.int64)
         end = np.asarray([end_id], np.uint32)
 
         def row(**values):
@@ -141,17 +153,18 @@ def staged_tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             seen = np.bincount(ids, minlength=len(histogram))
             seen[: len(histogram)] += histogram
             histogram = seen
-            return row(part=part, start=start, n=size, doc_ids=keys, lengths=[len(p) for p in parts], ids=ids.astype("<u4", copy=False).tobytes())
+            return row(part=part, start=start, n=size, doc_ids=keys, lengths=lengths, ids=ids.astype("<u4", copy=False).tobytes())
 
         for batch in batches:
-            for key, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = np.concatenate([encode(text.as_py() or ""), end])
-                keys.append(key)
-                parts.append(ids)
-                size += len(ids)
-                if size >= BLOCK_TOKENS:
-                    yield block()
-                    start, keys, parts, size = start + size, [], [], 0
+            for some in slices(batch):
+                for key, ids in zip(some["doc_id"].to_pylist(), encode([t or "" for t in some["text"].to_pylist()]), strict=True):
+                    keys.append(key)
+                    lengths.append(len(ids) + 1)
+                    parts += (ids, end)
+                    size += len(ids) + 1
+                    if size >= BLOCK_TOKENS:
+                        yield block()
+                        start, keys, lengths, parts, size = start + size, [], [], [], 0
         if keys:
             yield block()
         if found := np.flatnonzero(histogram).tolist():

@@ -8,6 +8,9 @@ plain white space, which is always a piece's border, and the chunks go through t
 any other white space go through it in one. All three ways give the ids of the whole text; the tests hold every code
 point below U+3000, in several contexts, against the library.
 
+Many texts at once (``encode_many``) are cut by array operations that give the pieces of the byte vocabulary's pattern, and
+each distinct piece of a group of texts is looked up once, not at every place.
+
 What a worker remembers is bounded in bytes (``Remembered``), so that a worker that Spark reuses for another job holds
 no more than that.
 """
@@ -19,6 +22,7 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
 
 CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space by any library's rules, other than the four plain ones.
@@ -41,6 +45,13 @@ def patterns(letters: str, numbers: str) -> dict[str, re.Pattern]:
 PIECES, ASCII_PIECES = patterns(LETTERS, NUMBERS), patterns("A-Za-z", "0-9")
 #: Bytes that a memory of pieces may hold, by a rough count of its strings and ids, and the longest piece it takes.
 KNOWN_BYTES, MAX_PIECE = 80 << 20, 64
+#: Characters of a group of texts that are cut together; a longer text is encoded by itself.
+GROUP = 1 << 20
+#: What each character of a Latin text is to the patterns, by code point.
+WHITE, LETTER, NUMBER, SIGN = range(4)
+KIND = np.full(0x2100, SIGN, np.uint8)
+for _kind, _class in ((WHITE, SPACE), (LETTER, LETTERS), (NUMBER, NUMBERS)):
+    KIND[[ord(c) for c in re.findall(f"[{_class}]", "".join(map(chr, range(0x250))))]] = _kind
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -104,6 +115,29 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def piece_starts(points: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where the pieces of Latin texts begin that lie one after another, by the pattern "bytes"; texts: where the texts begin."""
+    n = len(points)
+    edge = np.zeros(n + 1, bool)
+    edge[texts] = edge[n] = True
+    kind = KIND[points]
+    white, start = kind == WHITE, edge[:n].copy()
+    # another kind begins a piece, but a blank belongs to what follows it
+    start[1:] |= (kind[1:] != kind[:-1]) & (points[:-1] != 32)
+    # the last of several white characters is a piece's first, unless the text ends with them
+    start[1:-1] |= white[1:-1] & white[:-2] & ~white[2:] & ~edge[2:n]
+    quote = np.flatnonzero(start & (points == 39))
+    if len(quote):
+        after = [np.where(quote + k < n, points[np.minimum(quote + k, n - 1)], 0) for k in (1, 2)]
+        one, two = ~edge[quote + 1], ~edge[np.minimum(quote + 2, n)]
+        short = one & np.isin(after[0], [ord(c) for c in "stmd"])
+        long = one & two & (np.isin(after[0], [ord("r"), ord("v")]) & (after[1] == ord("e")) | (after[0] == ord("l")) & (after[1] == ord("l")))
+        start[quote[short | long] + 1] = False
+        ends = np.concatenate([quote[short] + 2, quote[long] + 3])
+        start[ends[ends < n]] = True
+    return np.flatnonzero(start)
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that byte-level vocabularies write for each byte: printable ones as they are, others from U+0100 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -144,6 +178,54 @@ class PieceEncoder:
         known.trim()
         return out
 
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out, group, size = [], [], 0
+
+        def cut():
+            nonlocal size
+            for i, ids in zip(group, self.encode_group([texts[i] for i in group]), strict=True):
+                out[i] = ids
+            group.clear()
+            size = 0
+
+        for i, text in enumerate(texts):
+            if self.kind != "bytes" or len(text) > GROUP or "<|" in text or ODD.search(text) or not text.isascii() and NOT_LATIN.search(text):
+                out.append(self.encode(text))
+                continue
+            if size + len(text) > GROUP:
+                cut()
+            out.append(None)
+            group.append(i)
+            size += len(text)
+        cut()
+        return out
+
+    def encode_group(self, texts: list[str]) -> list[np.ndarray]:
+        """encode_many for Latin texts, which are cut together, by the pattern "bytes"."""
+        joined = "".join(texts)
+        if not joined:
+            return [np.zeros(0, np.uint32) for _ in texts]
+        data = joined.encode()
+        points = np.frombuffer(data, np.uint8) if len(data) == len(joined) else np.frombuffer(joined.encode("utf-16-le"), "<u2")
+        ends = np.cumsum([len(t) for t in texts])
+        start = piece_starts(points, np.concatenate([[0], ends[:-1]]))
+        place = np.append(start, len(points))
+        if len(data) != len(joined):  # places in UTF-8
+            place = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800), dtype=np.int64)])[place]
+        pieces = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(place.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        known = self.pieces
+        known.encode = self.encode_piece
+        found = [*map(known.young.__getitem__, pieces.dictionary.to_numpy(zero_copy_only=False))]
+        known.trim()
+        ids = np.frombuffer(b"".join(found), np.uint32)
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        which = pieces.indices.to_numpy()
+        first, counts = (np.cumsum(counts) - counts)[which], counts[which]
+        stop = np.cumsum(counts)
+        ids = ids[np.repeat(first - stop + counts, counts) + np.arange(stop[-1])]
+        return np.split(ids, np.concatenate([[0], stop])[np.searchsorted(start, ends[:-1])])
+
     def encode_piece(self, piece: str) -> bytes:
         letters = self.letters
         if piece.isascii() and piece.isprintable():  # of these bytes only the blank has another letter

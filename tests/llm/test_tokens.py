@@ -53,3 +53,32 @@ def test_pieces_of_ascii_texts(name):
     assert differing(encoder, texts) == []
     ascii_, latin = tokens.ASCII_PIECES[encoder.kind], tokens.PIECES[encoder.kind]
     assert all(ascii_.findall(t) == latin.findall(t) for t in texts)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_many_texts_at_once(name, monkeypatch):
+    """Texts that are cut together have the library's ids, whatever lies at their ends."""
+    monkeypatch.setattr(tokens, "GROUP", 300)
+    r, encoder = random.Random(11), tokens.PieceEncoder(tokens.vocabulary(name))
+    signs = [*"   \n\t\r''strevlmdLaé1²½.,–’…", "'ll", " 're", "<|endoftext|>", "\x0b", "\x85", "Ж", "東"]
+    weights = [9] * (len(signs) - 5) + [1] * 5
+    texts = ["".join(r.choices(signs, weights, k=r.randrange(16))) for _ in range(8000)] + ["", "x" * 500, " ", "", *(c.format(c=chr(p)) for c in CONTEXTS for p in range(0x250))]
+    wanted = [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
+    assert [ids.tolist() for ids in encoder.encode_many(texts)] == wanted
+    assert encoder.encode_many([]) == [] and [len(x) for x in encoder.encode_many(["", ""])] == [0, 0]
+
+
+def test_pieces_of_many_texts_are_looked_up_once():
+    asked = []
+
+    class Counted(tokens.Young):
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return super().__getitem__(piece)
+
+    encoder = tokens.PieceEncoder(tokens.vocabulary("byte_bpe_50k.json"))
+    encoder.pieces.young = Counted()
+    encoder.pieces.young.memory = encoder.pieces
+    texts = [" ".join(f"word{i % 40} été{i % 7}," for i in range(k)) for k in range(200)]
+    assert [x.tolist() for x in encoder.encode_many(texts)] == [encoder.whole(t) for t in texts]
+    assert asked and len(asked) == len({*asked})
