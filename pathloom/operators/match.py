@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import count
+from dataclasses import dataclass, field
+from itertools import combinations, count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from .scan import scan_nodes, scan_rels
 #: A pattern without an upper bound ends when no path goes on; one that is still growing after so many hops fails.
 MAX_HOPS = 10_000
 UNROLLED = 8
+#: So many pairs of relationships that must differ are settled by subtraction in a counted branch (each doubles its terms).
+MAX_PAIRS = 3
 _numbers = count()
 
 
@@ -65,11 +68,32 @@ class Usage:
         return "*" not in self.props and not self.props.get(var)
 
 
+def names_in(tree) -> set[str]:
+    """Variables that a tree refers to, in patterns as well."""
+    found = set()
+    for x in tree.walk() if isinstance(tree, N) else (y for t in tree for y in t.walk()):
+        if x.kind == "var":
+            found.add(x.name)
+        elif x.kind in ("node", "rel") and x.var:
+            found.add(x.var)
+    return found
+
+
+@dataclass
+class Counted:
+    """What follows a MATCH whose rows are only counted: the variables read after it, its predicates, and what a counted branch made of them."""
+
+    read: set[str]
+    predicates: list[N]
+    taken: list[N] = field(default_factory=list)
+    weight: str | None = None
+
+
 class Match:
     """One MATCH clause on top of a frame whose variables are bound in env."""
 
-    def __init__(self, df: DataFrame, env: Env, parts: list[N], usage: Usage | None = None):
-        self.df, self.env, self.graph, self.usage = df, env.bound(), env.graph, usage
+    def __init__(self, df: DataFrame | None, env: Env, parts: list[N], usage: Usage | None = None, counted: Counted | None = None):
+        self.df, self.env, self.graph, self.usage, self.counted = df, env.bound(), env.graph, usage, counted
         self.parts, self.rels, self.paths = [], [], []
         for p in parts:
             nodes = [self._named(n, "anon_n") for n in p.nodes]
@@ -100,6 +124,9 @@ class Match:
         waiting, lone = list(steps), [v for v in self.patterns]
         while waiting:
             step = self._next(waiting)
+            if self.counted is not None and self._branch(waiting, [s for s in steps if s not in waiting]):
+                lone = []
+                break
             waiting.remove(step)
             self._expand(*step)
         for v in lone:
@@ -170,6 +197,68 @@ class Match:
         self._start(start)
         return self._next(waiting)
 
+    def _branch(self, waiting: list, done: list) -> bool:
+        """Whether all that is left of the pattern hangs on one bound node beside a like relationship, and nothing after the MATCH reads it; then it is counted instead of joined.
+
+        Of two such branches a node has as many rows as their product, of which a count needs the two numbers only."""
+        bound = set(self.env.vars)
+        inner = {x.var for a, r, b, _ in waiting for x in (a, r, b)} - bound
+        touched = {s[i].var for s in waiting for i in (0, 2)} & bound
+        if len(touched) != 1 or any(v not in bound and v not in inner for v in self.patterns):
+            return False
+        (hub,) = touched
+        ways = lambda steps: {r.direction if r.direction == "both" or a.var == hub else {"out": "in", "in": "out"}[r.direction] for a, r, b, _ in steps if hub in (a.var, b.var)}
+        mine, theirs = ways(done), ways(waiting)
+        if not (mine & theirs or mine and "both" in theirs or "both" in mine) or inner & (self.counted.read | self.in_path):
+            return False
+        if any(r.span is not None or r.var in bound for _, r, _, _ in waiting):
+            return False
+        given = [x.props for s in waiting for x in s[:3] if x.var in inner and x.props is not None] + [p for p in self.counted.predicates if names_in(p) & inner]
+        if any(not names_in(g) <= inner or any(x.kind in ("exists", "pattern_comprehension") or x.kind == "call_fn" and x.name.lower() in ("startnode", "endnode") for x in g.walk()) for g in given):
+            return False
+        pairs = [(x, s.var) for r, x in self.rels for _, s, _, _ in waiting if not (r.types and s.types) or set(r.types) & set(s.types)]
+        if len(pairs) > MAX_PAIRS or not all(isinstance(x, Entity) for x, _ in pairs):
+            return False
+        self._count_branch(hub, waiting, pairs)
+        return True
+
+    def _count_branch(self, hub: str, waiting: list, pairs: list) -> None:
+        """Gives each row the number of ways in which the waiting steps go on from its hub node, and keeps rows that have any.
+
+        The steps are matched once for all hubs. Ways that use a relationship of the row are taken off again: over the
+        sets of pairs that must differ, those with a row's own relationships in all pairs of the set count with
+        alternating sign, and are found by equality."""
+        near, there = self._entity(hub), Entity("node", fresh("n"), {})
+        side = Match(None, Env(self.graph, self.env.params, {hub: there}, self.env.now), [], self.usage)
+        side.labels, side.patterns, side.in_path = self.labels, self.patterns, self.in_path
+        left = list(waiting)
+        while left:
+            step = side._next(left)
+            left.remove(step)
+            side._expand(*step)
+        side._unique()
+        inner = {x.var for s in waiting for x in s[:3]} - {hub}
+        self.counted.taken = [p for p in self.counted.predicates if names_in(p) & inner]
+        for p in self.counted.taken:
+            side.df = filtered(side.df, p, side.env)
+        pairs = [(x, side.env.vars[v]) for x, v in pairs]
+        for x, y in pairs:
+            self.df, side.df = self.df.filter(x.id.isNotNull()), side.df.filter(y.id.isNotNull())
+        total, kept = F.lit(0).cast("long"), self.df.columns
+        for n in range(len(pairs) + 1):
+            for same in combinations(pairs, n):
+                at, ways = fresh("k"), fresh("c")
+                keys = {y.prefix: fresh("k") for _, y in same}
+                ids = {keys[y.prefix]: y.id for _, y in same}
+                numbers = side.df.groupBy(there.id.alias(at), *[c.alias(k) for k, c in ids.items()]).agg(F.count(F.lit(1)).alias(ways))
+                on = near.id == column(at)
+                for x, y in same:
+                    on = on & (x.id == column(keys[y.prefix]))
+                self.df = self.df.join(numbers, on, "left" if same else "inner")
+                total = total + F.lit((-1) ** n) * F.coalesce(column(ways), F.lit(0))
+        weight = self.counted.weight = fresh("w")
+        self.df = self.df.select(*map(column, kept), total.alias(weight)).filter(column(weight) > 0)
+
     def _start(self, var: str) -> None:
         df, entity = scan_nodes(self.graph, sorted(self.labels[var]), fresh("n"))
         had = bool(self.env.vars)
@@ -233,7 +322,10 @@ class Match:
             on = on & (target.id == end)
         if bound is not None:
             on = on & (bound.id == entity.id)
-        self.df = self.df.join(rels, on)
+        if self.df is None:  # the first step of a counted branch: its hub is where it starts, whichever node that is
+            self.df = rels.withColumn(f"{source.prefix}id", start).filter(on)
+        else:
+            self.df = self.df.join(rels, on)
         if r.props is not None and any(x.kind == "var" for x in r.props.walk()):
             self._filter_props(r.var, r.props)
         self.rels.append((r, entity))

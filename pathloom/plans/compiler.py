@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import types as ty
 from ..functions.expressions import AGGREGATES, Entity, Env, Value, boolean, compiled, constant
-from ..operators.match import Match, Usage, column, fresh
+from ..operators.match import Counted, Match, Usage, column, fresh, names_in
 from ..operators.procedures import records
 from . import validator
 from .ast import N, semantic
@@ -30,6 +30,8 @@ class State:
     #: In a subquery: the columns that tell the outer rows' values apart, and all their values.
     carry: tuple[str, ...] = ()
     outer: DataFrame | None = None
+    #: Where a row stands for several: the column that says for how many.
+    weight: str | None = None
 
     def keep(self, **changes) -> State:
         return replace(self, **changes)
@@ -59,10 +61,10 @@ def run_query(graph, text: str, params: dict | None = None, writable: bool = Fal
 
 def run_single(tree: N, env: Env, usage: Usage) -> tuple[DataFrame, Env]:
     state = State(env.graph.spark.range(1).select(), env, usage)
-    for clause in tree.clauses:
+    for clause, after in zip(tree.clauses, [*tree.clauses[1:], None], strict=True):
         if clause.kind == "return":
             return returned(state, clause), state.env
-        state = applied(state, clause)
+        state = matched(state, clause, counted(state, clause, after)) if clause.kind == "match" and not clause.optional else applied(state, clause)
     if tree.clauses[-1].kind == "call" and tree.clauses[-1].alone:
         names = [n for n in state.env.vars]
         return state.df.select(*[state.env.vars[n].column.alias(n) for n in names]), state.env
@@ -83,9 +85,27 @@ def applied(state: State, clause: N) -> State:
     return written(state, clause)
 
 
-def matched(state: State, clause: N) -> State:
-    df, env = Match(state.df, state.env, clause.parts, state.usage).run()
-    return where(state.keep(df=df, env=env), clause.where)
+def matched(state: State, clause: N, only: Counted | None = None) -> State:
+    df, env = Match(state.df, state.env, clause.parts, state.usage, only).run()
+    if only is None or only.weight is None:
+        return where(state.keep(df=df, env=env), clause.where)
+    state = state.keep(df=df, env=env, weight=only.weight)
+    for part in only.predicates:
+        state = state if part in only.taken else where(state, part)
+    return state
+
+
+def counted(state: State, clause: N, after: N | None) -> Counted | None:
+    """What the clause after a MATCH reads of it, if that clause does nothing but count its rows, by groups or all."""
+    if after is None or after.kind not in ("return", "with") or after.star or state.carry:
+        return None
+    exprs = [e for e, _ in (*after.items, *after.order)]
+    calls = [x for e in exprs for x in e.walk() if is_aggregate(x)]
+    if not any(has_aggregate(e) for e, _ in after.items) or not all(x.name.lower() == "count" and x.star for x in calls):
+        return None
+    if any(x.kind == "call_fn" and x.name.lower() == "rand" for t in (clause, after) for x in t.walk()):  # drawn anew for each row
+        return None
+    return Counted(names_in(exprs), conjuncts(clause.where) if clause.where is not None else [])
 
 
 def conjuncts(e: N) -> list[N]:
@@ -110,12 +130,7 @@ def where(state: State, e: N | None) -> State:
 
 def free_variables(tree, env: Env) -> list[str]:
     """Outer variables that a subquery refers to, in patterns as well."""
-    names = set()
-    for x in tree.walk() if isinstance(tree, N) else (y for t in tree for y in t.walk()):
-        if x.kind == "var":
-            names.add(x.name)
-        elif x.kind in ("node", "rel") and x.var:
-            names.add(x.var)
+    names = names_in(tree)
     return [n for n in env.vars if n in names]
 
 
@@ -398,7 +413,7 @@ def aggregated(state: State, items: list, clause: N):
         inside, args = all_with_subqueries(inside, x.args)
         out, arg = fresh("a"), fresh("x")
         outs.append(out)
-        c, t, argument = aggregate(x, args, inside.env, arg)
+        c, t, argument = aggregate(x, args, inside.env, arg, state.weight)
         if argument is not None:
             added[arg] = argument
         aggregates.append(c.alias(out))
@@ -422,7 +437,7 @@ def aggregated(state: State, items: list, clause: N):
     order = [sort_key(sortable(*compiled(e, after)), d) for e, d in orders]
     df = df.orderBy(*order) if order else df
     final = Env(env.graph, env.params, {name: after.vars[name] for _, name in items}, env.now)
-    return state.keep(df=df, env=final), order
+    return state.keep(df=df, env=final, weight=None), order
 
 
 def with_all_outer(df: DataFrame, state: State) -> DataFrame:
@@ -443,11 +458,11 @@ def all_with_subqueries(state: State, args: list[N]):
     return state, out
 
 
-def aggregate(x: N, args: list[N], env: Env, name: str) -> tuple[Column, ty.T, Column | None]:
+def aggregate(x: N, args: list[N], env: Env, name: str, weight: str | None = None) -> tuple[Column, ty.T, Column | None]:
     """The aggregation over the column called name, its type, and what that column holds."""
     kind = x.name.lower()
     if kind == "count" and x.star:
-        return F.count(F.lit(1)), ty.INT, None
+        return F.count(F.lit(1)) if weight is None else F.coalesce(F.sum(column(weight)), F.lit(0).cast("long")), ty.INT, None
     least = AGGREGATES[kind]
     if len(args) != least:
         raise semantic(f"{x.name}() takes {least} arguments")
