@@ -64,7 +64,7 @@ def joined_rows(df):
     return most
 
 
-@pytest.mark.parametrize("name", ["node_hash_join"])
+@pytest.mark.parametrize("name", ["node_hash_join", "uniqueness"])
 def test_joins_give_no_more_rows_than_their_input(spark, name):
     """The pairs of a nation's customers and suppliers grow with their product; no join may give them one by one."""
     folder, rows = "/root/testdata/sf0.1", 16_000
