@@ -18,6 +18,8 @@ MAX_HOPS = 10_000
 UNROLLED = 8
 #: So many pairs of relationships that must differ are settled by subtraction in a counted branch (each doubles its terms).
 MAX_PAIRS = 3
+#: Bytes of files whose relationships make a partition where nodes are counted DISTINCT.
+DEALT_BYTES = 8 << 20
 _numbers = count()
 
 
@@ -30,10 +32,11 @@ def column(name: str) -> Column:
 
 
 class Usage:
-    """Which properties of which variables a query reads; '*' where it needs the whole entity."""
+    """Which properties of which variables a query reads; '*' where it needs the whole entity. distinct: variables that are counted DISTINCT."""
 
     def __init__(self, query: N):
         self.props: dict[str, set[str]] = {}
+        self.distinct: set[str] = set()
         self._visit(query)
 
     def _add(self, var: str, what: str) -> None:
@@ -45,6 +48,8 @@ class Usage:
                 self._add(e.base.name, e.key)
                 return
             if e.kind == "call_fn" and e.name.lower() in ("count", "id") and len(e.args) == 1 and e.args[0].kind == "var" and not e.star:
+                if e.distinct:
+                    self.distinct.add(e.args[0].name)
                 return
             if e.kind == "has_labels" and e.base.kind == "var":
                 self._add(e.base.name, "labels()")
@@ -95,6 +100,7 @@ class Match:
     def __init__(self, df: DataFrame | None, env: Env, parts: list[N], usage: Usage | None = None, counted: Counted | None = None):
         self.df, self.env, self.graph, self.usage, self.counted = df, env.bound(), env.graph, usage, counted
         self.parts, self.rels, self.paths = [], [], []
+        self.dealt: tuple[int, Column] | None = None
         for p in parts:
             nodes = [self._named(n, "anon_n") for n in p.nodes]
             rels = [self._named(r, "anon_r") for r in p.rels]
@@ -325,6 +331,8 @@ class Match:
         if self.df is None:  # the first step of a counted branch: its hub is where it starts, whichever node that is
             self.df = rels.withColumn(f"{source.prefix}id", start).filter(on)
         else:
+            if self.usage is not None and a.var in self.usage.distinct and (parts := self._parts(source, rels)):
+                self.df, rels, self.dealt = self.df.repartition(parts, source.id), rels.repartition(parts, start), (parts, source.id)
             self.df = self.df.join(rels, on)
         if r.props is not None and any(x.kind == "var" for x in r.props.walk()):
             self._filter_props(r.var, r.props)
@@ -332,6 +340,27 @@ class Match:
         if not into:
             self._bind_target(a, b, r, end, 0 if flip else 1)
 
+    def _parts(self, source: Entity, rels: DataFrame) -> int | None:
+        """In how many partitions nodes that are counted DISTINCT meet their relationships; None leaves it to Spark.
+
+        The partitions of this join also hold the groups of the count, so a task sorts its rows and then keeps each of
+        them twice: 60 times its bytes of files on the test tables. Spark's own partitions grow to its advisory size, and
+        beyond it once there are spark.sql.shuffle.partitions of them. Nodes that Spark would broadcast, and sizes that no
+        files tell, are left alone."""
+        nodes, leaves = self.df.select(source.id), self._leaves(rels)
+        if not self._large(nodes) or any(x.getClass().getSimpleName() != "LogicalRelation" for x in (*leaves, *self._leaves(nodes))):
+            return None
+        return sum(int(str(x.stats().sizeInBytes())) for x in leaves) // DEALT_BYTES + 1
+
+    def _leaves(self, df: DataFrame) -> list:
+        found = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return [found.apply(i) for i in range(found.size())]
+
+    def _large(self, df: DataFrame) -> bool:
+        """Whether Spark would rather shuffle a frame than broadcast it."""
+        most = self.graph.spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > most
+
     def _bind_target(self, a: N, b: N, r: N, end: Column, side: int) -> None:
         if not self._need_node(b.var, r, side):
             prefix = fresh("n")
@@ -346,7 +375,12 @@ class Match:
         whole, self.df = self.df, nodes
         for p in own:
             self._filter_props(b.var, p)
-        self.df = whole.join(self.df, end == node.id)
+        read = [f"{node.prefix}id", *(f"{node.prefix}p_{k}" for k in node.props if k in self.usage.props.get(b.var, ()))] if self.dealt else []
+        if self.dealt and self._large(self.df.select(*map(column, read))):  # by these nodes and back, as many parts as before
+            parts, by = self.dealt
+            self.df = whole.repartition(parts, end).join(self.df.repartition(parts, node.id), end == node.id).repartition(parts, by)
+        else:
+            self.df = whole.join(self.df, end == node.id)
         for p in props:
             if p not in own:
                 self._filter_props(b.var, p)

@@ -1,5 +1,7 @@
 """Branches that are counted instead of joined: the counts of rows that are listed, and plans whose joins do not multiply."""
 
+import os
+import re
 from collections import Counter
 
 import pytest
@@ -70,3 +72,24 @@ def test_joins_give_no_more_rows_than_their_input(spark, name):
     folder, rows = "/root/testdata/sf0.1", 16_000
     df = catalog.QUERIES[name](spark, folder)
     assert joined_rows(df) <= rows < sum(r[-1] for r in df.collect())
+
+
+def test_a_distinct_count_is_dealt_by_the_size_of_its_files(spark, monkeypatch):
+    """Nodes too large to broadcast meet their relationships in partitions of a size of their own, whichever size Spark would take; the rows stay the same."""
+    from pathloom.operators import match
+
+    folder, key = "/root/testdata/sf0.1", "spark.sql.autoBroadcastJoinThreshold"
+    want = sorted(map(tuple, catalog.QUERIES["rel_props_agg"](spark, folder).collect()))
+    monkeypatch.setattr(match, "DEALT_BYTES", 1 << 20)
+    parts = os.path.getsize(f"{folder}/lineitem.parquet") // match.DEALT_BYTES + 1
+    before = spark.conf.get(key)
+    try:
+        for least, exchanges in (("200KB", 2), ("1KB", 5)):
+            spark.conf.set(key, least)
+            df = catalog.QUERIES["rel_props_agg"](spark, folder)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert len(re.findall(rf"Exchange hashpartitioning\(.*, {parts}\), REPARTITION_BY_NUM", plan)) == exchanges
+            assert plan.count("Exchange hashpartitioning") == exchanges + 1
+            assert sorted(map(tuple, df.collect())) == want
+    finally:
+        spark.conf.set(key, before)
